@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import lengths, mixing, secrets, simhash, toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +18,27 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.limits(lengths.histogram(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash_components": op3_simhash_components,
+    "op7_toxicity_scores": op7_toxicity_scores,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLE_SQL = {
