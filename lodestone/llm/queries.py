@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lengths, mixing, secrets, simhash, toxicity
+from . import avi, lengths, linededup, mixing, packing, secrets, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,14 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -34,14 +42,22 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_components": op3_simhash_components,
+    "op4_packing": op4_packing,
+    "op6_avi_media": op6_avi_media,
     "op7_toxicity_scores": op7_toxicity_scores,
     "op9_source_mixing": op9_source_mixing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL = {
     "op1_secret_ownership": secrets.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op10_line_dedup": linededup.SQL,
 }
