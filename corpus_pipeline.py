@@ -31,12 +31,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest doc_id stays; documents without a word are no copies of each other."""
-    found = simhash.near_duplicates(docs).where((F.col("fp") != 0) & (F.col("doc_id") > F.col("component_id")))
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    # Rows that share a doc_id are copies as well: the first of them stays.
-    return kept.dropDuplicates(["doc_id", "text"])
+    """Of each group of linked fingerprints the document of the smallest doc_id stays; of rows with one doc_id, one. Rows without a doc_id stay."""
+    found = stored(simhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
+    gone = found.where("doc_id > component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti")
+    first = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(first).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,13 +7,17 @@ the matched words, their share of the template and the span in the text.
 
 The index holds the templates only, so its size doesn't depend on the corpus.
 
-Defined cases: null and empty texts have no matches; equal matches of several templates are all reported; repeated rows
-are scanned each; an empty table gives no rows; further columns are ignored.
+Of overlapping matches the one with the most matched words, less its edits, is reported: a notice isn't counted for a
+similar license too.
+
+Defined cases: null and empty texts have no matches; ties go to the earlier start, then the license's name; repeated
+rows are scanned each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -156,19 +160,27 @@ class Index:
                 last = offset
                 m = len(template)
                 if offset >= 0 and listed[offset : offset + m] == template:
-                    matched, a, b = m, offset, offset + m
+                    matched, a, b, edits = m, offset, offset + m, 0
                 else:
                     from_ = max(offset - band, 0)
                     part = listed[from_ : offset + m + band]
-                    matched, a, b, _ = align(template, part, band=band, offset=offset - from_)
+                    matched, a, b, edits = align(template, part, band=band, offset=offset - from_)
                     a, b = a + from_, b + from_
                     while a < b and listed[a] != template[0] and listed[a] not in template:
                         a += 1
                     while b > a and listed[b - 1] not in template:
                         b -= 1
                 if matched >= coverage * m and b > a:
-                    out.add((name, nth, spans[a][0], spans[b - 1][1], matched, m, matched / m))
-        return sorted(out, key=lambda x: (x[2], x[3], x[0], x[1]))
+                    out.add((edits - matched, spans[a][0], name, nth, spans[b - 1][1], matched, m))
+        kept: list[tuple[int, int]] = []  # spans so far, sorted, apart from each other
+        best = []
+        for _, start, name, nth, end, matched, m in sorted(out):
+            i = bisect_right(kept, (start, end))
+            if (i and kept[i - 1][1] > start) or (i < len(kept) and kept[i][0] < end):
+                continue
+            kept.insert(i, (start, end))
+            best.append((name, nth, start, end, matched, m, matched / m))
+        return sorted(best, key=lambda x: x[2])
 
 
 _SCHEMA = "doc_id long, license string, template int, start long, end long, matched_words int, template_words int, coverage double"
