@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters for which both libraries' classes of letters, digits and spaces are known to agree.
-_RARE = re.compile("[^\x00-ſ‐-…]")
+_RARE = re.compile("[^\x00-\u017f\u2010-\u2026]")
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE with use_regex.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
