@@ -17,10 +17,12 @@ no rows; further columns pass through unchanged and may have any names.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, hot_join, stored
+from .common import hot_join, stored
 
 #: A single edit among at least this many words is a similarity of 0.8 or more; shorter lines must be equal.
 NEAR_WORDS = 5
@@ -31,43 +33,62 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.hash(*parts)
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, GAP), lambda w: w != "")
+def _lines(text: Column) -> Column:
+    """The lines of a text with one space between words; only texts with other white space are rewritten."""
+    odd = F.rlike(text, F.lit(r"[\x09\x0B-\x0D]|\x20\x20"))
+    return F.split(F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text), "\n")
+
+
+def _first(line: Column, k: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), k)
+
+
+def _last(line: Column, k: Column) -> Column:
+    return F.call_function("substring_index", line, F.lit(" "), -k)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: its document's key, place, hashes of its words and its half keys."""
+    """A row for each line that isn't blank: its document's key, place, hashes of its words and its half keys.
+
+    Words are counted and cut off by their spaces, so no line is taken apart.
+    """
     k1, k2 = _row_key(docs)
-    lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.posexplode(F.split(docs["text"], "\n")).alias("line", "of"))
-    lines = lines.select("doc_id", "k1", "k2", "line", _words(F.col("of")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.posexplode(_lines(docs["text"])).alias("line", "of"))
+    lines = lines.withColumn("of", F.trim("of")).where("of <> ''")
+    lines = lines.withColumn("n", F.octet_length("of") - F.octet_length(F.replace("of", F.lit(" "), F.lit(""))) + 1)
     n = F.col("n")
 
     def head(k: Column) -> Column:
-        return F.xxhash64(F.lit("head"), k, F.slice("w", F.lit(1), k))
+        return F.xxhash64(F.lit("head"), k, _first(F.col("of"), k))
 
     def tail(k: Column) -> Column:
-        return F.xxhash64(F.lit("tail"), k, F.slice("w", n - k + 1, k))
+        return F.xxhash64(F.lit("tail"), k, _last(F.col("of"), k))
 
     # Halves as a line of n words and as one of n - 1 words with an insertion; for odd n the heads coincide, for even n the tails.
     half, less = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
     odd = n % 2 == 1
     near = n >= NEAR_WORDS
     return lines.select(
-        "doc_id", "k1", "k2", "line", "n",
-        F.xxhash64("w").alias("h1"), F.hash("w").alias("h2"),
+        "doc_id", "k1", "k2", "line", "n", _order().alias("place"),
+        F.xxhash64("of").alias("h1"), F.hash("of").alias("h2"),
         F.when(near, head(half)).alias("a"), F.when(near, F.when(odd, tail(less)).otherwise(head(less))).alias("b"), F.when(near, tail(n - half)).alias("c"),
     )
 
 
 def _order() -> Column:
-    """Sorts as the corpus does: doc_id with nulls last, then the document's hashes, then the line."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "line")
+    """A number that sorts lines as the corpus does: doc_id with nulls last (20 digits), the document's hash (8), the line (10).
+
+    A decimal, since its minimum is a hash aggregate where that of a struct would sort.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(2**63)), F.lit(Decimal(2**64))).cast("decimal(20,0)")
+    rest = F.pmod("k1", F.lit(10**8)) * F.lit(10**10) + F.col("line")
+    return (doc * F.lit(Decimal(10**18)) + rest.cast("decimal(18,0)")).cast("decimal(38,0)")
 
 
 def classes(lines: DataFrame) -> DataFrame:
     """A row for each distinct line: hashes, words, occurrences, the place of the first one, half keys."""
     return lines.groupBy("h1", "h2").agg(
-        F.min(_order()).alias("first"), F.count("*").alias("n_lines"), F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c")
+        F.min("place").alias("first"), F.count("*").alias("n_lines"), F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c")
     )
 
 
@@ -79,15 +100,17 @@ def _with_partner(distinct: DataFrame) -> DataFrame:
     return keyed.join(common, "half").select("h1", "h2").distinct()
 
 
-def _texts(docs: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame:
-    """h1, h2, first, n, w (words) of the chosen lines, read from the document of their first occurrence."""
+def _texts(docs: DataFrame, lines: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame:
+    """h1, h2, first, n, of (the words with spaces between) of the chosen lines, read from the document of their first occurrence."""
     wanted = distinct.join(chosen, ["h1", "h2"]).select("first", "n", "h1", "h2")
-    by_doc = wanted.groupBy(F.col("first.k1").alias("q1"), F.col("first.k2").alias("q2")).agg(F.collect_list(F.struct("first", "n", "h1", "h2")).alias("of"))
+    at = lines.select(F.col("place").alias("first"), F.col("h1").alias("p1"), "k1", "k2", "line")
+    wanted = wanted.join(at, ["first"]).where("h1 = p1")
+    by_doc = wanted.groupBy(F.col("k1").alias("q1"), F.col("k2").alias("q2")).agg(F.collect_list(F.struct("first", "n", "h1", "h2", "line")).alias("x"))
     k1, k2 = _row_key(docs)
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
     found = texts.join(by_doc, (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
-    found = found.select(F.split("text", "\n").alias("lines"), F.explode("of").alias("x"))
-    found = found.select("x.*", _words(F.element_at("lines", F.col("x.first.line") + 1)).alias("w"))
+    found = found.select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
+    found = found.select("x.first", "x.n", "x.h1", "x.h2", F.trim(F.element_at("lines", F.col("x.line") + 1)).alias("of"))
     return found.dropDuplicates(["h1", "h2"])  # rows with equal doc_id and text
 
 
@@ -100,12 +123,13 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest_long == rest_short)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1, h2, keeper: distinct lines with an earlier one within one edit, and the earliest such line found."""
-    lines = stored(_texts(docs, distinct, _with_partner(distinct)), "line-texts")
+def near_lines(docs: DataFrame, occurring: DataFrame, distinct: DataFrame) -> DataFrame:
+    """h1, h2, keeper: distinct lines with an earlier one within one edit, and the place of the earliest such line found."""
+    lines = stored(_texts(docs, occurring, distinct, _with_partner(distinct)), "line-texts")
     spots = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("spot")
-    variants = lines.select("h1", "h2", "first", "n", "w", spots)
-    rest = F.concat(F.slice("w", F.lit(1), F.col("spot") - 1), F.slice("w", F.col("spot") + 1, F.col("n")))
+    variants = lines.select("h1", "h2", "first", "n", "of", spots)
+    before, after = _first(F.col("of"), F.col("spot") - 1), _last(F.col("of"), F.col("n") - F.col("spot"))
+    rest = F.when(F.col("spot") == 1, after).when(F.col("spot") == F.col("n"), before).otherwise(F.concat(before, F.lit(" "), after))
     variants = stored(variants.select("h1", "h2", "first", "n", "spot", F.xxhash64(rest).alias("r1"), F.hash(rest).alias("r2")), "line-variants")
     # One word replaced: equal variants of equal length and place.
     least = variants.groupBy("n", "spot", "r1", "r2").agg(F.min("first").alias("keeper"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -116,8 +140,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     longer = more.where("short < first").select("h1", "h2", "first", F.col("short").alias("keeper"))
     shorter = more.where("first < short").select(F.col("r1").alias("h1"), F.col("r2").alias("h2"), F.col("short").alias("first"), F.col("first").alias("keeper"))
     found = replaced.unionByName(longer).unionByName(shorter).groupBy("h1", "h2").agg(F.min("keeper").alias("keeper"))
-    words = lines.select("h1", "h2", "w")
-    kept = lines.select(F.col("first").alias("keeper"), F.col("w").alias("kept_w"))
+    words = lines.select("h1", "h2", F.split("of", " ").alias("w"))
+    kept = lines.select(F.col("first").alias("keeper"), F.split("of", " ").alias("kept_w"))
     checked = found.join(words, ["h1", "h2"]).join(kept, "keeper").where(_within_one_edit(F.col("w"), F.col("kept_w")))
     return checked.select("h1", "h2", "keeper")
 
@@ -126,12 +150,15 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): every line that isn't blank; those that go, with `near` and the earlier line that stands for them."""
     lines = stored(occurrences(docs), "lines")
     distinct = stored(classes(lines), "line-classes")
-    near = near_lines(docs, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper")
+    near = near_lines(docs, lines, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper")
     judged = distinct.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n_lines > 1 or keeper is not null")
     judged = stored(judged.select("h1", "h2", "n_lines", "first", "keeper"), "line-verdicts")
-    found = hot_join(lines.select("doc_id", "k1", "k2", "line", "h1", "h2"), judged, ["h1", "h2"], "n_lines", F.struct("k1", "line"))
-    found = found.where("first is not null").withColumn("own", _order()).where("keeper is not null or own <> first")
-    return lines, found.select("k1", "k2", "line", F.col("keeper").isNotNull().alias("near"), F.coalesce("keeper", "first").alias("keeper"))
+    found = hot_join(lines.select("k1", "k2", "line", "place", "h1", "h2"), judged, ["h1", "h2"], "n_lines", F.struct("k1", "line"))
+    found = found.where("first is not null and (keeper is not null or place <> first)")
+    keeper = F.coalesce("keeper", "first")
+    doc = (F.floor(keeper / F.lit(Decimal(10**18))) - F.lit(Decimal(2**63))).cast("decimal(38,0)")
+    doc = F.when(doc < F.lit(Decimal(2**63)), doc.cast("long"))
+    return lines, found.select("k1", "k2", "line", F.col("keeper").isNotNull().alias("near"), doc.alias("keeper_doc"), (keeper % F.lit(Decimal(10**10))).cast("int").alias("keeper_line"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
