@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stored
 from .tokens import encoder
 
 
 def histogram(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> DataFrame:
-    """length, docs. Each task sends one row for each length that it meets."""
+    """length, docs. Each task sends one row for each length that it meets; the result is stored, as texts are encoded once only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
@@ -33,7 +34,7 @@ def histogram(docs: DataFrame, tokenizer: str, *, text_col: str = "text") -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["length", "docs"])
 
     partial = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long, docs long")
-    return partial.groupBy("length").agg(F.sum("docs").alias("docs"))
+    return stored(partial.groupBy("length").agg(F.sum("docs").alias("docs")), "length-histogram")
 
 
 def limits(counts: DataFrame, *, stride: int = 4096) -> DataFrame:
