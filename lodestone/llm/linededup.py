@@ -8,7 +8,8 @@ line and the earlier one found for it is verified on their words.
 
 Before the variants, lines without any possible partner are set aside, which loses nothing: of two lines within one
 edit either the first half of one is a prefix of the other at that length or its second half is a suffix, so a line
-whose half keys nobody shares has no partner.
+whose half keys nobody shares has no partner. For the others the same is asked of quarters, and words are deleted only
+in quarters around which a partner agrees.
 
 Defined cases: blank lines always stay; a null text stays null and has no lines; "earliest" is by doc_id (nulls last),
 then text hash, then line; rows with equal doc_id and text are one document and are treated alike; an empty table gives
@@ -35,7 +36,9 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
 
 def _lines(text: Column) -> Column:
     """The lines of a text with one space between words; only texts with other white space are rewritten."""
-    odd = F.rlike(text, F.lit(r"[\x09\x0B-\x0D]|\x20\x20"))
+    odd = F.lit(False)
+    for other in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(text, F.lit(other))
     return F.split(F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text), "\n")
 
 
@@ -75,14 +78,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
+def _document(doc_id: Column, k1: Column) -> Column:
+    """A number that sorts documents: doc_id with nulls last (20 digits), the document's hash (8)."""
+    doc = F.coalesce(doc_id.cast("decimal(20,0)") + F.lit(Decimal(2**63)), F.lit(Decimal(2**64))).cast("decimal(20,0)")
+    return (doc * F.lit(Decimal(10**8)) + F.pmod(k1, F.lit(10**8)).cast("decimal(8,0)")).cast("decimal(28,0)")
+
+
 def _order() -> Column:
-    """A number that sorts lines as the corpus does: doc_id with nulls last (20 digits), the document's hash (8), the line (10).
+    """A number that sorts lines as the corpus does: the document's, then the line (10 digits).
 
     A decimal, since its minimum is a hash aggregate where that of a struct would sort.
     """
-    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(Decimal(2**63)), F.lit(Decimal(2**64))).cast("decimal(20,0)")
-    rest = F.pmod("k1", F.lit(10**8)) * F.lit(10**10) + F.col("line")
-    return (doc * F.lit(Decimal(10**18)) + rest.cast("decimal(18,0)")).cast("decimal(38,0)")
+    return (_document(F.col("doc_id"), F.col("k1")) * F.lit(Decimal(10**9)) * F.lit(Decimal(10)) + F.col("line").cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def classes(lines: DataFrame) -> DataFrame:
@@ -100,18 +107,36 @@ def _with_partner(distinct: DataFrame) -> DataFrame:
     return keyed.join(common, "half").select("h1", "h2").distinct()
 
 
-def _texts(docs: DataFrame, lines: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame:
-    """h1, h2, first, n, of (the words with spaces between) of the chosen lines, read from the document of their first occurrence."""
-    wanted = distinct.join(chosen, ["h1", "h2"]).select("first", "n", "h1", "h2")
-    at = lines.select(F.col("place").alias("first"), F.col("h1").alias("p1"), "k1", "k2", "line")
-    wanted = wanted.join(at, ["first"]).where("h1 = p1")
-    by_doc = wanted.groupBy(F.col("k1").alias("q1"), F.col("k2").alias("q2")).agg(F.collect_list(F.struct("first", "n", "h1", "h2", "line")).alias("x"))
-    k1, k2 = _row_key(docs)
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].alias("text"))
-    found = texts.join(by_doc, (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")))
-    found = found.select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
-    found = found.select("x.first", "x.n", "x.h1", "x.h2", F.trim(F.element_at("lines", F.col("x.line") + 1)).alias("of"))
-    return found.dropDuplicates(["h1", "h2"])  # rows with equal doc_id and text
+def _texts(docs: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame:
+    """h1, h2, first, n, of (the words with spaces between) of the chosen lines, read from the document of their first occurrence.
+
+    Rows with equal doc_id and text give equal rows here, which no later step minds.
+    """
+    wanted = distinct.join(chosen, ["h1", "h2"])
+    document, line = F.floor(F.col("first") / F.lit(Decimal(10**10))).cast("decimal(28,0)"), (F.col("first") % F.lit(Decimal(10**10))).cast("int")
+    by_doc = wanted.groupBy(document.alias("document")).agg(F.collect_list(F.struct("first", "n", "h1", "h2", line.alias("line"))).alias("x"))
+    texts = docs.select(_document(docs["doc_id"].cast("long"), _row_key(docs)[0]).alias("document"), docs["text"].alias("text"))
+    found = texts.join(by_doc, "document").select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
+    found = found.select("x.first", "x.n", "x.h1", "x.h2", F.trim(F.get("lines", F.col("x.line"))).alias("of"))
+    return found.where(F.xxhash64("of") == F.col("h1"))
+
+
+def _quarters(lines: DataFrame) -> DataFrame:
+    """h1, h2, from, to: the places of lines at which a partner may differ.
+
+    Of a line's four quarters one edit leaves three as they are, so partners share the words around one quarter. Each
+    line has those keys for its own length and, as the longer one, for one word less.
+    """
+    keys = []
+    for less in (0, 1):
+        m = F.col("n") - less
+        for q in range(4):
+            before, after = (m * q / 4).cast("int"), m - (m * (q + 1) / 4).cast("int")
+            key = F.xxhash64(F.lit(q), m, _first(F.col("of"), before), _last(F.col("of"), after))
+            keys.append(F.struct(key.alias("key"), (before + 1).alias("from"), (F.col("n") - after).alias("to")))
+    keyed = lines.select("h1", "h2", F.inline(F.array(*keys)))
+    common = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
+    return keyed.join(common, "key").select("h1", "h2", "from", "to").distinct()
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -123,11 +148,11 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (rest_long == rest_short)
 
 
-def near_lines(docs: DataFrame, occurring: DataFrame, distinct: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """h1, h2, keeper: distinct lines with an earlier one within one edit, and the place of the earliest such line found."""
-    lines = stored(_texts(docs, occurring, distinct, _with_partner(distinct)), "line-texts")
-    spots = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("spot")
-    variants = lines.select("h1", "h2", "first", "n", "of", spots)
+    lines = stored(_texts(docs, distinct, _with_partner(distinct)), "line-texts")
+    spots = F.explode(F.sequence("from", "to")).alias("spot")
+    variants = lines.join(_quarters(lines), ["h1", "h2"]).select("h1", "h2", "first", "n", "of", spots)
     before, after = _first(F.col("of"), F.col("spot") - 1), _last(F.col("of"), F.col("n") - F.col("spot"))
     rest = F.when(F.col("spot") == 1, after).when(F.col("spot") == F.col("n"), before).otherwise(F.concat(before, F.lit(" "), after))
     variants = stored(variants.select("h1", "h2", "first", "n", "spot", F.xxhash64(rest).alias("r1"), F.hash(rest).alias("r2")), "line-variants")
@@ -143,14 +168,14 @@ def near_lines(docs: DataFrame, occurring: DataFrame, distinct: DataFrame) -> Da
     words = lines.select("h1", "h2", F.split("of", " ").alias("w"))
     kept = lines.select(F.col("first").alias("keeper"), F.split("of", " ").alias("kept_w"))
     checked = found.join(words, ["h1", "h2"]).join(kept, "keeper").where(_within_one_edit(F.col("w"), F.col("kept_w")))
-    return checked.select("h1", "h2", "keeper")
+    return checked.select("h1", "h2", "keeper").distinct()
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, removed): every line that isn't blank; those that go, with `near` and the earlier line that stands for them."""
     lines = stored(occurrences(docs), "lines")
     distinct = stored(classes(lines), "line-classes")
-    near = near_lines(docs, lines, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper")
+    near = near_lines(docs, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper")
     judged = distinct.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n_lines > 1 or keeper is not null")
     judged = stored(judged.select("h1", "h2", "n_lines", "first", "keeper"), "line-verdicts")
     found = hot_join(lines.select("k1", "k2", "line", "place", "h1", "h2"), judged, ["h1", "h2"], "n_lines", F.struct("k1", "line"))
