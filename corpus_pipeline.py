@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import linededup, mixing, packing, simhash, toxicity
-from lodestone.llm.common import stored
+from lodestone.llm.common import if_small, stored
 from lodestone.llm.queries import TOKENIZER
 from lodestone.session import ship
 
+#: Ids that may be broadcast; beyond, texts are shuffled to them.
+SMALL = 1_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
@@ -34,10 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked fingerprints the document of the smallest doc_id stays; of rows with one doc_id, one. Rows without a doc_id stay."""
     found = stored(simhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti")
-    first = docs.join(repeated.join(gone, "doc_id", "left_anti"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(first).select(*docs.columns)
+    repeated = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return docs.join(if_small(gone, SMALL), "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(if_small(gone.unionByName(repeated).distinct(), SMALL), "doc_id", "left_anti")
+    first = docs.join(if_small(repeated.join(gone, "doc_id", "left_anti"), SMALL), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = placed.join(taken.groupBy("uid").agg(F.sum("words").alias("taken")), "uid", "left")
     times = times.select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.round(F.coalesce("taken", F.lit(0)) / F.col("size"))).otherwise(F.lit(1)).cast("int").alias("_times"))
     times = times.groupBy("_id").agg(F.max("_times").alias("_times"))
+    times = if_small(times.where("_times > 0"), SMALL)
     found = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
     return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
 

@@ -2,36 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark import StorageLevel  # noqa: F401  (re-exported for notebooks)
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir, stored  # noqa: F401
+
 #: Separators of words in every operator: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, else (as in tests) a folder of our own, which becomes that setting's value."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """df, stored, and to be broadcast if it has at most `rows` rows; beyond, joins with it shuffle."""
+    df = stored(df, "side")
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read back.
-
-    Cuts lineage as checkpoint() does, but columnar and compressed, and a lost executor costs nothing of it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Gives back what Arrow holds for later: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
 
 
 def hot_join(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, spread: Column, share: int = 1000) -> DataFrame:

@@ -23,10 +23,12 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import hot_join, if_small, stored
 
 #: A single edit among at least this many words is a similarity of 0.8 or more; shorter lines must be equal.
 NEAR_WORDS = 5
+#: Documents whose line numbers may be broadcast instead of shuffling all texts to them.
+SMALL = 200_000
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -116,7 +118,7 @@ def _texts(docs: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame
     document, line = F.floor(F.col("first") / F.lit(Decimal(10**10))).cast("decimal(28,0)"), (F.col("first") % F.lit(Decimal(10**10))).cast("int")
     by_doc = wanted.groupBy(document.alias("document")).agg(F.collect_list(F.struct("first", "n", "h1", "h2", line.alias("line"))).alias("x"))
     texts = docs.select(_document(docs["doc_id"].cast("long"), _row_key(docs)[0]).alias("document"), docs["text"].alias("text"))
-    found = texts.join(by_doc, "document").select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
+    found = texts.join(if_small(by_doc, SMALL), "document").select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
     found = found.select("x.first", "x.n", "x.h1", "x.h2", F.trim(F.get("lines", F.col("x.line"))).alias("of"))
     return found.where(F.xxhash64("of") == F.col("h1"))
 
@@ -192,6 +194,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_doc = removed.dropDuplicates(["k1", "k2", "line"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.count_if("near").alias("_near"))
     by_doc = by_doc.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_gone", "_near")
     k1, k2 = _row_key(docs)
+    by_doc = if_small(by_doc, SMALL)
     joined = docs.join(by_doc, (k1 == by_doc["_k1"]) & (k2 == by_doc["_k2"]), "left").drop("_k1", "_k2")
     split = F.split(docs["text"], "\n")
     # A set of places as a map keeps long documents from being searched place by place.

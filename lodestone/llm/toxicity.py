@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, stored
+from .common import GAP, release, stored
 
 ORDER, DISCOUNT, BITS, STRETCH = 5, 0.75, 20, 32
 #: Labelled rows that the logistic curve (three numbers) is fitted to, by a hash of doc_id: this many at most, but for chance.
@@ -127,11 +128,14 @@ class Model:
                 found[i] = (s[-1] - s[0]) / n, (s[k:] - s[:-k]).max() / k
         return found
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def features_of(self, texts: pa.Array, some: int = 250) -> np.ndarray:
+        """The same for a column of texts, a few at a time."""
+        return np.concatenate([np.zeros((0, 2)), *[self.features(texts[i : i + some].to_pylist()) for i in range(0, len(texts), some)]])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(texts))
-        x = np.concatenate([self.features(texts[i : i + 500]) for i in range(0, len(texts), 500)] or [np.zeros((0, 2))])
-        z = self.curve[0] + x @ np.array(self.curve[1:])
+        z = self.curve[0] + self.features_of(texts) @ np.array(self.curve[1:])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -171,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, curve_rows: int = CURVE_ROWS) ->
     sample = left_out.where(share).select("text", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<double>")
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            found = [shared.value.features(part.iloc[i : i + 500].tolist()) for i in range(0, len(part), 500)]
-            yield pd.Series([list(x) for y in found for x in y])
+            yield pa.array(shared.value.features_of(part).tolist(), pa.list_(pa.float64()))
+        release()
 
     got = sample.select("toxic", features("text").alias("x")).toPandas()
     if got["toxic"].nunique() == 2:
@@ -186,10 +190,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, curve_rows: int = CURVE_ROWS) ->
 def score(model: Model, spark, text: Column) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            yield pd.Series(shared.value.scores([t if isinstance(t, str) else None for t in part]))
+            yield pa.array(shared.value.scores(part))
+        release()
 
     return scored(text)
 
