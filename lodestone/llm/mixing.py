@@ -21,13 +21,15 @@ WEIGHTS = (3.0, 1.0, 2.0)  # by source in code-point order, repeating
 BUDGET, REPEATS, BLOCK = 1.5, 2, 1024
 #: Golden ratio's fraction of 2^32. slot * PHI mod 2^32 is exact in 64 bits and uniform over every 2^32 slots.
 PHI, RING, CELLS = 2654435769, 2**32, 4096
+RUN = 4096  # slots whose ranks are counted in one window
 
 
 def targets(sized: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
     """A row for each source: key, source_size, target. The windows run over one row a source.
 
     Water filling: sources reach their limits in the order of limit / weight; those before the first one that the rest
-    of the budget doesn't fill are full, the others share what is left by weight.
+    of the budget doesn't fill are full, the others share what is left by weight. A row's level supposes that all
+    before it are full, so the first open row has the true one, and later rows a lower one.
     """
     each = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     w = Window.orderBy(F.col("source").asc_nulls_last())
@@ -40,7 +42,7 @@ def targets(sized: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, repeat
     open_ = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(order), F.lit(0.0))
     each = each.withColumn("level", (F.col("total") - used) / open_)
     each = each.withColumn("full", F.col("limit") <= F.col("level") * F.col("weight"))
-    level = F.coalesce(F.min(F.when(~F.col("full"), F.col("level"))).over(every), F.lit(0.0))
+    level = F.coalesce(F.max(F.when(~F.col("full"), F.col("level"))).over(every), F.lit(0.0))
     return each.select("source", "rank", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(level * F.col("weight")).alias("target"))
 
 
@@ -84,7 +86,7 @@ def schedule(spark: SparkSession, goals: DataFrame, *, block: int = BLOCK, repea
     # slot = high * 2^16 + low keeps the product below 2^63
     high, low = F.floor(F.col("id") / 65536), F.col("id") % 65536
     point = (low * F.lit(PHI) + (high % 65536 * F.lit(PHI)) % 65536 * 65536) % F.lit(RING)
-    points = spark.range(0, slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / 65536).alias("run"), point.alias("point"))
+    points = spark.range(0, slots).select(F.col("id").alias("slot"), F.floor(F.col("id") / RUN).alias("run"), point.alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") / width))
     drawn = points.join(cells, "cell").where("point >= lo and point < hi").select("slot", "run", "rank")
     counts = drawn.groupBy("rank", "run").agg(F.count("*").alias("n"))
@@ -137,7 +139,7 @@ levels AS (
   SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
             / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM weighed),
 goals AS (
-  SELECT source, source_size, CASE WHEN lim <= level * weight THEN lim ELSE coalesce(min(level) FILTER (lim > level * weight) OVER (), 0.0) * weight END AS target FROM levels),
+  SELECT source, source_size, CASE WHEN lim <= level * weight THEN lim ELSE coalesce(max(level) FILTER (lim > level * weight) OVER (), 0.0) * weight END AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, least(CAST(round(g.target) AS BIGINT), 2 * g.source_size) AS words,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY CAST('0x' || substr(key, 1, 4) AS INT) % 256, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
