@@ -3,8 +3,8 @@
 Words of labelled training documents are counted by class over the whole corpus, and so are their character 5-grams.
 The two classes' 5-gram models back off to one shared model of continuation counts (in how many different contexts a
 shorter gram occurs, whatever the class), so a rare expression is judged by its stem. A word's log-likelihood ratio is
-the sum over its characters; a document's are normalised by length, over the whole text and over its most toxic
-stretch of 32 words. A logistic curve fitted to training documents that the counts left out turns them into a score.
+the sum over its characters; a document's are normalised by length, over the whole text, over its most toxic stretch of
+three words and over the most toxic fiftieth of its words. A logistic curve fitted to training documents that the counts left out turns them into a score.
 
 Counts grow with the corpus and stay in Spark; only tables of a fixed size (2^20 entries each) go to the tasks.
 
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import GAP, release, stored
 
-ORDER, DISCOUNT, BITS, STRETCH = 5, 0.75, 20, 32
-#: Labelled rows that the logistic curve (three numbers) is fitted to, by a hash of doc_id: this many at most, but for chance.
+ORDER, DISCOUNT, BITS, STRETCH = 5, 0.75, 20, 3
+#: A document's share of words whose mean is its third measure; three words at least.
+FIFTIETH, MEASURES = 50, 3
+#: Labelled rows that the logistic curve (four numbers) is fitted to, by a hash of doc_id: this many at most, but for chance.
 CURVE_ROWS = 20_000
 #: Labels (12 bytes each) that may be broadcast.
 BROADCAST_LABELS = 1_000_000
@@ -92,11 +94,11 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class Model:
-    """Tables of a fixed size, and the curve: bias, weight of the mean ratio, weight of the highest stretch's."""
+    """Tables of a fixed size, and the curve: bias and the weights of the three measures."""
 
     seen: np.ndarray
     unseen: np.ndarray
-    curve: tuple[float, float, float] | None = None
+    curve: tuple[float, ...] | None = None
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         codes = np.frombuffer("".join(f"{_FIRST * (ORDER - 1)}{w}{_LAST}" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -114,23 +116,24 @@ class Model:
         return np.add.reduceat(np.nan_to_num(r, nan=0.0).astype(np.float64), np.cumsum(sizes) - sizes)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Rows of (mean ratio of a word, the highest mean over STRETCH words in a row)."""
+        """Rows of (mean ratio of a word, the highest mean over STRETCH words in a row, the mean of the highest fiftieth)."""
         lists = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        found = np.zeros((len(lists), 2))
+        found = np.zeros((len(lists), MEASURES))
         if not sizes.sum():
             return found
         codes, words = pd.factorize(np.fromiter((w for x in lists for w in x), dtype=object, count=sizes.sum()))
-        sums = np.concatenate(([0.0], np.cumsum(self.word_ratios([w.decode("utf-8", "surrogatepass") for w in words])[codes])))
+        ratios_ = self.word_ratios([w.decode("utf-8", "surrogatepass") for w in words])[codes]
         for i, (a, n) in enumerate(zip(np.cumsum(sizes) - sizes, sizes)):
             if n:
-                s, k = sums[a : a + n + 1], min(n, STRETCH)
-                found[i] = (s[-1] - s[0]) / n, (s[k:] - s[:-k]).max() / k
+                r, k, m = ratios_[a : a + n], min(n, STRETCH), min(n, max(3, n // FIFTIETH + 1))
+                s = np.concatenate(([0.0], np.cumsum(r)))
+                found[i] = s[-1] / n, (s[k:] - s[:-k]).max() / k, np.partition(r, n - m)[n - m :].mean()
         return found
 
     def features_of(self, texts: pa.Array, some: int = 250) -> np.ndarray:
         """The same for a column of texts, a few at a time."""
-        return np.concatenate([np.zeros((0, 2)), *[self.features(texts[i : i + some].to_pylist()) for i in range(0, len(texts), some)]])
+        return np.concatenate([np.zeros((0, MEASURES)), *[self.features(texts[i : i + some].to_pylist()) for i in range(0, len(texts), some)]])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.curve is None:
@@ -139,18 +142,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression by Newton steps, with a slight ridge; inputs scaled."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
-    a, w = np.column_stack([np.ones(len(x)), x / scale]), np.zeros(3)
-    ridge = np.diag([1e-6, 1e-3, 1e-3])
+    a, w = np.column_stack([np.ones(len(x)), x / scale]), np.zeros(1 + x.shape[1])
+    ridge = np.diag([1e-6, *[1e-3] * x.shape[1]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1] / scale[0]), float(w[2] / scale[1])
+    return (float(w[0]), *(w[1:] / scale).tolist())
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
