@@ -31,9 +31,8 @@ NEAR_WORDS = 5
 SMALL = 200_000
 
 
-def _row_key(docs: DataFrame) -> tuple[Column, Column]:
-    parts = [F.coalesce(docs["doc_id"].cast("string"), F.lit("\0")), docs["text"]]
-    return F.xxhash64(*parts), F.hash(*parts)
+def _text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
 
 
 def _lines(text: Column) -> Column:
@@ -57,8 +56,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     Words are counted and cut off by their spaces, so no line is taken apart.
     """
-    k1, k2 = _row_key(docs)
-    lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.posexplode(_lines(docs["text"])).alias("line", "of"))
+    lines = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_hash(docs).alias("k1"), F.posexplode(_lines(docs["text"])).alias("line", "of"))
     lines = lines.withColumn("of", F.trim("of")).where("of <> ''")
     lines = lines.withColumn("n", F.octet_length("of") - F.octet_length(F.replace("of", F.lit(" "), F.lit(""))) + 1)
     n = F.col("n")
@@ -74,7 +72,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     odd = n % 2 == 1
     near = n >= NEAR_WORDS
     return lines.select(
-        "doc_id", "k1", "k2", "line", "n", _order().alias("place"),
+        "k1", "line", "n", _order().alias("place"),
         F.xxhash64("of").alias("h1"), F.hash("of").alias("h2"),
         F.when(near, head(half)).alias("a"), F.when(near, F.when(odd, tail(less)).otherwise(head(less))).alias("b"), F.when(near, tail(n - half)).alias("c"),
     )
@@ -114,12 +112,12 @@ def _texts(docs: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame
 
     Rows with equal doc_id and text give equal rows here, which no later step minds.
     """
-    wanted = distinct.join(chosen, ["h1", "h2"])
     document, line = F.floor(F.col("first") / F.lit(Decimal(10**10))).cast("decimal(28,0)"), (F.col("first") % F.lit(Decimal(10**10))).cast("int")
-    by_doc = wanted.groupBy(document.alias("document")).agg(F.collect_list(F.struct("first", "n", "h1", "h2", line.alias("line"))).alias("x"))
-    texts = docs.select(_document(docs["doc_id"].cast("long"), _row_key(docs)[0]).alias("document"), docs["text"].alias("text"))
-    found = texts.join(if_small(by_doc, SMALL), "document").select(_lines(F.col("text")).alias("lines"), F.explode("x").alias("x"))
-    found = found.select("x.first", "x.n", "x.h1", "x.h2", F.trim(F.get("lines", F.col("x.line"))).alias("of"))
+    wanted = stored(distinct.join(chosen, ["h1", "h2"]).select("h1", "h2", "first", "n", document.alias("document"), line.alias("line")), "line-wanted")
+    texts = docs.select(_document(docs["doc_id"].cast("long"), _text_hash(docs)).alias("document"), docs["text"].alias("text"))
+    found = texts.join(if_small(wanted.select("document").distinct(), SMALL), "document", "left_semi")
+    found = found.select("document", F.posexplode(_lines(F.col("text"))).alias("line", "of"))
+    found = found.join(if_small(wanted, SMALL), ["document", "line"]).select("first", "n", "h1", "h2", F.trim("of").alias("of"))
     return found.where(F.xxhash64("of") == F.col("h1"))
 
 
@@ -180,22 +178,23 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = near_lines(docs, distinct).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "keeper")
     judged = distinct.join(near, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").where("n_lines > 1 or keeper is not null")
     judged = stored(judged.select("h1", "h2", "n_lines", "first", "keeper"), "line-verdicts")
-    found = hot_join(lines.select("k1", "k2", "line", "place", "h1", "h2"), judged, ["h1", "h2"], "n_lines", F.struct("k1", "line"))
+    found = hot_join(lines.select("k1", "line", "place", "h1", "h2"), judged, ["h1", "h2"], "n_lines", F.struct("k1", "line"))
     found = found.where("first is not null and (keeper is not null or place <> first)")
     keeper = F.coalesce("keeper", "first")
     doc = (F.floor(keeper / F.lit(Decimal(10**18))) - F.lit(Decimal(2**63))).cast("decimal(38,0)")
     doc = F.when(doc < F.lit(Decimal(2**63)), doc.cast("long"))
-    return lines, found.select("k1", "k2", "line", F.col("keeper").isNotNull().alias("near"), doc.alias("keeper_doc"), (keeper % F.lit(Decimal(10**10))).cast("int").alias("keeper_line"))
+    own = F.floor(F.col("place") / F.lit(Decimal(10**10))).cast("decimal(28,0)")
+    return lines, found.select(own.alias("document"), "k1", "line", F.col("keeper").isNotNull().alias("near"), doc.alias("keeper_doc"), (keeper % F.lit(Decimal(10**10))).cast("int").alias("keeper_line"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with _kept (the text without the lines that go, null text: null), _lines, _removed, _near and _gone (the lines that go, from 0)."""
     lines, removed = removals(docs)
-    by_doc = removed.dropDuplicates(["k1", "k2", "line"]).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.count_if("near").alias("_near"))
-    by_doc = by_doc.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "_gone", "_near")
-    k1, k2 = _row_key(docs)
+    by_doc = removed.dropDuplicates(["document", "k1", "line"]).groupBy("document", "k1").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.count_if("near").alias("_near"))
+    by_doc = by_doc.select(F.col("document").alias("_document"), F.col("k1").alias("_k1"), "_gone", "_near")
+    k1 = _text_hash(docs)
     by_doc = if_small(by_doc, SMALL)
-    joined = docs.join(by_doc, (k1 == by_doc["_k1"]) & (k2 == by_doc["_k2"]), "left").drop("_k1", "_k2")
+    joined = docs.join(by_doc, (_document(docs["doc_id"].cast("long"), k1) == by_doc["_document"]) & (k1 == by_doc["_k1"]), "left").drop("_document", "_k1")
     split = F.split(docs["text"], "\n")
     # A set of places as a map keeps long documents from being searched place by place.
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
