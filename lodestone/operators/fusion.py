@@ -90,3 +90,9 @@ def related(hits: DataFrame, primary_hits: DataFrame, graph: DataFrame, *, file:
         in_ = graph.join(F.broadcast(first), graph["dst"] == first["of"]).select(F.lit("callers").alias("relation"), F.col("src").alias("file"), F.coalesce("reason", F.lit("direct importer of a primary result")).alias("reason"), F.lit(1).alias("hops"), F.col("ord").cast("long").alias("ord"))
         rows = rows.unionByName(out).unionByName(in_)
     return first_by(rows, ["relation", "file"], ["ord", "reason"])
+
+
+def symbols_first(symbol_hits: DataFrame, other_hits: DataFrame, k: int, *, file: str = "file", order: str = "ord") -> DataFrame:
+    """Symbol hits, then the others; a file once, by its first hit; k files. Ranks are pruned before they meet."""
+    both = symbol_hits.select(F.lower(file).alias("_key"), file, order, F.lit(0).alias("source")).unionByName(other_hits.select(F.lower(file).alias("_key"), file, order, F.lit(1).alias("source")))
+    return first_by(both.where("_key <> ''"), ["_key"], ["source", order]).drop("_key").orderBy("source", order).limit(k)

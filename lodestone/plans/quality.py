@@ -77,3 +77,10 @@ def compare(current: DataFrame, baseline: DataFrame, *, max_drop: float = 0.0, m
 def gate(current: DataFrame, baseline: DataFrame, *, max_drop: float = 0.0, max_token_increase_pct: float = 10.0, max_returned_tokens: int = 1024) -> bool:
     """Whether nothing regressed beyond the gate's limits."""
     return compare(current, baseline, max_drop=max_drop, max_increase_pct={"returned_tokens_max": max_token_increase_pct}, max_returned_tokens=max_returned_tokens).isEmpty()
+
+
+def timings(samples: DataFrame, by: list[str], seconds: str) -> DataFrame:
+    """p50 (the median), p95 and p99 (by nearest rank) and min in milliseconds. A group's list holds one number a sample."""
+    ms = F.col(seconds) * 1000
+    lists = samples.groupBy(*by).agg(F.collect_list(ms).alias("l"), F.percentile(ms, 0.5).alias("p50"), F.min(ms).alias("min"))
+    return lists.select(*by, F.round("p50", 3).alias("p50"), F.round(at_nearest_rank("l", 0.95), 3).alias("p95"), F.round(at_nearest_rank("l", 0.99), 3).alias("p99"), F.round("min", 3).alias("min"))

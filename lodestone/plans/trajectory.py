@@ -156,3 +156,16 @@ def markdown(modes: DataFrame, changes: DataFrame) -> str:
     out += ["", "| metric | reduction % |", "| --- | --- |"]
     out += [f"| {r['metric']} | {r['reduction_pct']} |" for r in changes.orderBy("metric").collect()]
     return "\n".join(out)
+
+
+def schedule(tasks: DataFrame, modes: list[str], repetitions: int, *, order: str = "alternating", seed: int = 0) -> DataFrame:
+    """nth, task_id, mode, repetition of tasks(task_id, place): modes turn round at every other task and repetition.
+
+    order "random" sorts by a seeded hash, so it is the same on every run and cluster.
+    """
+    each = tasks.select("task_id", "place", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("repetition"))
+    forward = F.array(*map(F.lit, modes))
+    turned = F.when((F.col("place") + F.col("repetition")) % 2 == 1, F.reverse(forward)).otherwise(forward) if order == "alternating" else forward
+    rows = each.select("task_id", "place", "repetition", F.posexplode(turned).alias("slot", "mode"))
+    key = [F.xxhash64("task_id", "mode", "repetition", F.lit(seed)), F.col("task_id"), F.col("mode"), F.col("repetition")] if order == "random" else [F.col("repetition"), F.col("place"), F.col("slot")]
+    return rows.withColumn("nth", F.row_number().over(Window.orderBy(*key))).select("nth", "task_id", "mode", "repetition")

@@ -14,7 +14,7 @@ from .operators import exact, fusion, grams, graph, recency, semantic, signals,
 from .plans import planner, quality, trajectory
 from .sources import corpus, records, store
 from .streaming import changes
-from .tables import stored
+
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -597,3 +597,58 @@ def source_fingerprint(spark, table):
 def append_replace(spark, table):
     new = table("benchmark").select(F.concat(F.lit("src1/new/"), F.col("item_id").cast("string")).alias("path"), "text")
     return store.append_replace(_files(table).select("path", "text"), new, "src1")
+
+
+@query("""WITH a AS (SELECT 'k' || (c_custkey % 300) AS file, 0 AS source, c_custkey AS ord FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'K' || (o_orderkey % 400), 1, o_orderkey FROM orders),
+    f AS (SELECT *, row_number() OVER (PARTITION BY lower(file) ORDER BY source, ord) AS n FROM a) SELECT file, ord, source FROM f WHERE n = 1 ORDER BY source, ord LIMIT 200""")
+def symbols_before_text(spark, table):
+    first = table("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("k"), (F.col("c_custkey") % 300).cast("string")).alias("file"), F.col("c_custkey").alias("ord"))
+    rest = table("orders").select(F.concat(F.lit("K"), (F.col("o_orderkey") % 400).cast("string")).alias("file"), F.col("o_orderkey").alias("ord"))
+    return fusion.symbols_first(first, rest, 200)
+
+
+@query("""WITH s AS (SELECT l_returnflag, list(l_discount * 1000 ORDER BY l_discount * 1000) AS v, quantile_cont(l_discount * 1000, 0.5) AS m FROM lineitem GROUP BY l_returnflag)
+    SELECT l_returnflag, round(m, 3) AS p50, round(v[CAST(round_even((len(v) - 1) * 0.95, 0) AS BIGINT) + 1], 3) AS p95, round(v[CAST(round_even((len(v) - 1) * 0.99, 0) AS BIGINT) + 1], 3) AS p99, round(v[1], 3) AS min FROM s""")
+def timing_summary(spark, table):
+    return quality.timings(table("lineitem"), ["l_returnflag"], "l_discount")
+
+
+@query("""WITH e AS (SELECT c_custkey AS task_id, c_custkey AS place, unnest([0, 1, 2]) AS repetition FROM customer),
+    m AS (SELECT *, unnest([0, 1]) AS slot FROM e), x AS (SELECT *, CASE WHEN ((place + repetition) % 2 = 1) = (slot = 0) THEN 'assisted' ELSE 'baseline' END AS mode FROM m)
+    SELECT CAST(row_number() OVER (ORDER BY repetition, place, slot) AS INTEGER) AS nth, task_id, mode, repetition FROM x""")
+def run_schedule(spark, table):
+    return trajectory.schedule(table("customer").select(F.col("c_custkey").alias("task_id"), F.col("c_custkey").alias("place")), ["baseline", "assisted"], 3)
+
+
+@query("""WITH c AS (SELECT o_custkey AS run_id, 'F' || (o_orderkey % 9) AS path, CAST(floor(o_totalprice) AS BIGINT) % 50 AS i FROM orders),
+    g AS (SELECT run_id, list_sort(list_distinct(list(path))) AS p, sum(i) AS insertions FROM c GROUP BY run_id), w AS (SELECT *, list_distinct(['f' || (run_id % 9), 'f1']) AS want, list_transform(p, lambda x: lower(x)) AS got FROM g)
+    SELECT run_id, array_to_string(p, ',') AS changed, CAST(insertions AS BIGINT) AS insertions, round(len(list_intersect(want, got)) / len(want), 6) AS expected_file_recall,
+      array_to_string(list_sort(list_filter(got, lambda x: NOT list_contains(want, x))), ',') AS unexpected FROM w""")
+def patch_metrics(spark, table):
+    rows = table("orders").select(F.col("o_custkey").alias("run_id"), F.concat(F.lit("F"), (F.col("o_orderkey") % 9).cast("string")).alias("path"), (F.floor("o_totalprice") % 50).alias("insertions"), F.lit(0).alias("deletions"))
+    expected = F.array(F.concat(F.lit("f"), (F.col("run_id") % 9).cast("string")), F.lit("F1"))
+    found = trajectory.patch(rows, expected)
+    return found.select("run_id", F.array_join("changed_files", ",").alias("changed"), "insertions", "expected_file_recall", F.array_join("unexpected_changed_files", ",").alias("unexpected"))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, role = 'user' AS call, turn * 100.5::DOUBLE AS ms FROM conversations), n AS (SELECT *, sum(CAST(call AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn) AS calls FROM e)
+    SELECT conv_id AS run_id, turn AS sequence FROM n WHERE calls <= 3 AND ms <= 1000""")
+def capped_events(spark, table):
+    return trajectory.capped(_events(table), max_calls=3, timeout_ms=1000).select("run_id", "sequence")
+
+
+@query(f"""SELECT event_id, '[REDACTED]' AS token, {_redaction_sql("'Bearer x' || event_id || ' password=' || event_type || ' ok'")} AS header FROM events""")
+def sanitized_arguments(spark, table):
+    header = F.concat(F.lit("Bearer x"), F.col("event_id").cast("string"), F.lit(" password="), F.col("event_type"), F.lit(" ok"))
+    rows = table("events").select("event_id", records.sanitized(F.create_map(F.lit("Token"), F.lit("t"), F.lit("header"), header)).alias("a"))
+    return rows.select("event_id", F.col("a")["Token"].alias("token"), F.col("a")["header"].alias("header"))
+
+
+@query(f"""WITH x AS ({_PATHS}), y AS (SELECT page_id, lower(replace(path, '\\', '/')) AS p FROM x), e AS (SELECT page_id, CASE WHEN regexp_matches({_BASE}, '^\\.env($|\\.)') THEN '.env' ELSE regexp_extract({_BASE}, '^.+(\\.[^.]+)$', 1) END AS ext FROM y)
+    SELECT page_id, array_to_string(list_filter([CASE WHEN ext IN ({', '.join(repr(x) for x in paths.EXACT_EXTENSIONS)}) THEN 'exact' END, CASE WHEN ext IN ({', '.join(repr(x) for x in paths.DEPENDENCY_EXTENSIONS)}) THEN 'dependency' END, CASE WHEN ext = '.cs' THEN 'symbol' END], lambda v: v IS NOT NULL), ',') AS indexes
+    FROM e WHERE ext IN ({', '.join(repr(x) for x in paths.EXACT_EXTENSIONS)})""")
+def routed_changes(spark, table):
+    ends = F.element_at(F.array(*map(F.lit, ["/test_a.py", "/app.spec.ts", "/config/x.json", "/.env.local", "/README", "\\Tests\\B.cs"])), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = table("pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://", ""), ends).alias("path"))
+    found = changes.routed(rows, {"exact": paths.EXACT_EXTENSIONS, "dependency": paths.DEPENDENCY_EXTENSIONS, "symbol": [".cs"]}, paths.SKIPPED_FOLDERS)
+    return found.select("page_id", F.array_join("indexes", ",").alias("indexes"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import EXACT_EXTENSIONS, SKIPPED_FOLDERS, extension, is_skipped
+from ..tables import stored
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -46,13 +47,17 @@ def skipped(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def numbered(files: DataFrame) -> DataFrame:
-    """files with file_id, the place in path order from 0. Counts of path ranges are summed first, so only ranges are ordered in one task."""
-    ranged = files.repartitionByRange("path").withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    """files (of distinct paths) with file_id, the place in path order from 0.
+
+    Paths alone are dealt out by ranges, which are stored so that their bounds are drawn once; ranges are counted, and
+    only a range is ordered in one task.
+    """
+    ranged = stored(files.select("path").repartitionByRange("path").withColumn("_part", F.spark_partition_id()), "path-ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    base = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy("path")) - 1)
-    return own.join(base, "_part").withColumn("file_id", F.col("_base") + F.col("_own")).drop("_part", "_base", "_own")
+    ids = own.join(base, "_part").select("path", (F.col("_base") + F.col("_own")).alias("file_id"))
+    return files.join(ids, "path")
 
 
 def packed(files: DataFrame, *, size: str = "size") -> DataFrame:

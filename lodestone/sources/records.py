@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import redact
 from ..schemas import TRAJECTORY
 
 QUERIES = "id string, query string, exact_query string, symbol_query string, expected_files array<string>, expected_symbols array<string>, expected_tests array<string>"
@@ -74,6 +75,20 @@ def trajectory(lines: DataFrame) -> DataFrame:
     return rows.unionByName(final, allowMissingColumns=True).select(*[n for n in names])
 
 
+#: Keys whose values are never kept.
+SECRET_KEYS = ["authorization", "api_key", "apikey", "password", "secret", "token"]
+
+
+def sanitized(arguments: Column) -> Column:
+    """A map without its secrets: values of secret keys are replaced, others redacted."""
+    return F.transform_values(arguments, lambda k, v: F.when(F.lower(k).isin(SECRET_KEYS), F.lit("[REDACTED]")).otherwise(redact(v)))
+
+
+def append_json(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines, as one commit; columns are sorted by name."""
+    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
+
+
 def _operation(command: Column) -> Column:
     """What a shell command does, one label or more: a test, a search, a file read, an edit, else other."""
     rules = [
