@@ -34,8 +34,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest doc_id stays; of rows with one doc_id, one. Rows without a doc_id stay."""
-    found = stored(simhash.near_duplicates(docs), "near-duplicates").where("doc_id is not null")
+    """Of each group of documents that a similarity of 0.8 of five-word shingles links the one of the smallest doc_id stays; of rows with one doc_id, one. Rows without a doc_id stay."""
+    found = stored(simhash.similar_documents(docs), "near-duplicates").where("doc_id is not null")
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
     repeated = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():

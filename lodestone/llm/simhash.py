@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, release, stored
+from .common import hot_join, if_small, release, stored
 from .components import connected
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -69,7 +69,7 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(42).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def _forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, table: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that connect whatever is linked within one bucket. Sorted by the first coordinate, a member's candidates are
     a short range of those not yet reached; each is reached once, so dense groups take near-linear time."""
     order = np.argsort(table[:, 0], kind="stable")
@@ -81,10 +81,10 @@ def _forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
         while queue and len(left):
             i = queue.pop()
             first = table[left, 0]
-            a, b = np.searchsorted(first, [max(table[i, 0] - RADIUS, 0), table[i, 0] + RADIUS + 1])
+            a, b = np.searchsorted(first, [max(table[i, 0] - radius, 0), table[i, 0] + radius + 1])
             near = left[a:b]
-            near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= RADIUS]
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= RADIUS]
+            near = near[np.abs(table[near] - table[i]).max(axis=1, initial=0) <= radius]
+            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
             if len(near):
                 found += [(i, j) for j in near]
                 queue += near.tolist()
@@ -92,60 +92,67 @@ def _forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     return [(int(order[i]), int(order[j])) for i, j in found]
 
 
-def links_of_buckets(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the buckets of sorted keys, enough to connect what is linked."""
+def pairs_of_buckets(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius: int = RADIUS, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links within the buckets of sorted keys, enough to connect what is linked."""
     table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
     cuts = np.flatnonzero(np.diff(keys)) + 1
     starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
     left, right = [], []
     of = np.repeat(sizes, sizes)
-    few = (of > 1) & (of <= SMALL)
+    few = (of > 1) & (of <= small)
     pos, k = np.flatnonzero(few), keys[few]
-    for s in range(1, SMALL):
+    for s in range(1, small):
         if len(k) <= s:
             break
         i, j = pos[:-s][same := k[:-s] == k[s:]], pos[s:][same]
         if not len(i):
             break
-        ok = np.abs(table[i] - table[j]).max(axis=1) <= RADIUS
+        ok = np.abs(table[i] - table[j]).max(axis=1) <= radius
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
+        ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
         left.append(i[ok])
         right.append(j[ok])
-    for a, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        pairs = np.array(_forest(fps[a : a + n], table[a : a + n]), dtype=np.int64).reshape(-1, 2) + a
+    for a, n in zip(starts[sizes > small], sizes[sizes > small]):
+        pairs = np.array(_forest(fps[a : a + n], table[a : a + n], radius), dtype=np.int64).reshape(-1, 2) + a
         left.append(pairs[:, 0])
         right.append(pairs[:, 1])
-    i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+
+
+def links_of_buckets(keys: np.ndarray, fps: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as fingerprints."""
+    i, j = pairs_of_buckets(keys, fps, refs)
     return fps[i], fps[j]
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns (key first) of rows sorted by key, cut only between buckets."""
+    held: list[list[np.ndarray]] = []  # rows whose bucket may go on in the next batch
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut or (held and held[0][0][0] != columns[0][0]):
+            parts = [p for p in [*held, [c[:cut] for c in columns]] if len(p[0])]
+            yield [np.concatenate(c) for c in zip(*parts)]
+            held = []
+        held.append([c[cut:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """u, v: links between distinct fingerprints fp, a spanning set of them."""
     block = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
     keys = [F.lit(i << 22) + F.shiftleft(block[a], BLOCKS[b][1]) + block[b] for i, (a, b) in enumerate(combinations(range(6), 2))]
-    keyed = distinct.select("fp", F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"))
+    keyed = distinct.select(F.explode(F.array(*[k.cast("long") for k in keys])).alias("key"), "fp")
     refs = pivots()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows whose bucket may go on in the next batch
-
-        def out(parts):
-            u, v = links_of_buckets(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), refs)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u.view(np.int64), v.view(np.int64))), pa.array(np.maximum(u.view(np.int64), v.view(np.int64)))], ["u", "v"])
-
-        for batch in batches:
-            key, fp = batch.column(1).to_numpy(), batch.column(0).to_numpy().view(np.uint64)
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut or (held and held[0][0][0] != key[0]):
-                parts = [*held, (key[:cut], fp[:cut])]
-                yield out([p for p in parts if len(p[0])])
-                held = []
-            held.append((key[cut:], fp[cut:]))
-        if held:
-            yield out(held)
+        for key, fp in whole_buckets(batches):
+            u, v = (x.view(np.int64) for x in links_of_buckets(key, fp.view(np.uint64), refs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "u long, v long").distinct()
 
@@ -163,6 +170,106 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     return hot_join(marked, stored(named, "fingerprint-components"), ["fp"], "n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
+#: The wide form: words of a fingerprint, sampled keys, their bits, the radius within the first word that candidates must keep, and the largest bucket all of whose pairs are looked at.
+WORDS, KEYS, KEY_BITS, NEAR_RADIUS, NEAR_SMALL = 4, 112, 20, 18, 64
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, a blank one none."""
+    import xxhash
+
+    words, digest = (text or "").encode("utf-8", "surrogatepass").lower().split(), xxhash.xxh64_intdigest
+    if not words:
+        return np.empty(0, np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    n = max(len(words) - width + 1, 1)
+    starts, last = np.concatenate(([0], ends[:-1]))[:n].tolist(), (ends[-n:] - 1).tolist()
+    whole = b" ".join(words)
+    return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, last)), np.uint64, n))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A SimHash of words * 64 bits: each further word mixes the shingles' hashes anew."""
+    out = np.zeros(words, np.uint64)
+    for k in range(words):
+        z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(z), 65536):
+            ones += np.unpackbits(z[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        if len(z):
+            out[k] = np.packbits(ones * 2 > len(z), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, small: int = 1_000_000) -> DataFrame:
+    """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of at least `similarity`.
+
+    At that similarity fingerprints differ in too many bits for blocks that must agree, so each is indexed by KEYS
+    samples of KEY_BITS of its 256 bits; a link of 0.8 shares one with a chance of 0.99, one of 0.85 of 0.9999. Within
+    a bucket pivot tables and distances in the first word leave candidates (a spanning forest in large buckets, another
+    in each of the samples), whose similarity is then taken exactly. Documents with equal fingerprints are one class and
+    linked; blank ones are one class. Rows with one doc_id count as one document; null ids have no component.
+    """
+    names = [f"f{k}" for k in range(WORDS)]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(WORDS)]], ["doc_id", *names])
+        release()
+
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    marked = stored(texts.mapInArrow(mark, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "wide-fingerprints")
+    classes = stored(marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "wide-classes")
+    rng = np.random.default_rng(7)
+    samples = [rng.permutation(64 * WORDS)[:KEY_BITS] for _ in range(KEYS)]
+    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fps = np.column_stack([part.column(k).to_numpy() for k in range(WORDS)])
+                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+                keys = np.concatenate([(k << KEY_BITS) + bits[:, x].astype(np.int64) @ weights for k, x in enumerate(samples)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(fps[:, 0], KEYS)), pa.array(np.tile(part.column(WORDS).to_numpy(), KEYS))], ["key", "fp", "id"])
+        release()
+
+    refs = pivots()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, fp, id_ in whole_buckets(batches):
+            i, j = pairs_of_buckets(key, fp.view(np.uint64), refs, NEAR_RADIUS, NEAR_SMALL)
+            u, v = np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        release()
+
+    keyed = classes.where("first_id is not null").select(*names, "first_id").mapInArrow(index, "key long, fp long, id long")
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    pairs = stored(pairs, "wide-candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingle_hashes(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "hashes"])
+        release()
+
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    shingles = stored(texts.join(if_small(wanted, small), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "wide-shingles")
+    of = lambda c: shingles.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    common = F.size(F.array_intersect("u_hashes", "v_hashes"))
+    linked = both.where(common >= similarity * (F.size("u_hashes") + F.size("v_hashes") - common)).select("u", "v").distinct()
+    labels = connected(stored(linked, "wide-links"))
+    named = classes.join(labels, classes["first_id"] == labels["node"], "left").select(*names, "n", F.coalesce("label", "first_id").alias("component_id"))
+    return hot_join(marked, stored(named, "wide-components"), names, "n", F.col("doc_id")).select("doc_id", "component_id")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -94,3 +94,37 @@ def test_connected(spark):
     got = {r["node"]: r["label"] for r in components.connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 150: 100, **{500 + i: 500 for i in range(60)}}
     assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def brute_similar(rows, least=0.8):
+    """doc_id -> smallest doc_id that links of five-word similarity reach."""
+    sets = {d: shingles(t) for d, t in rows}
+    label = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and label[a] != label[b] and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: new if x == old else x for d, x in label.items()}
+    return label
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(11)
+    base = [[f"v{rng.integers(5000)}" for _ in range(300)] for _ in range(15)]
+    rows = [(i, near(rng, base[i % 15], i % 5)) for i in range(150)]  # up to four words of 300 changed
+    rows += [(200 + i, near(rng, base[i], 40)) for i in range(15)]  # a similarity of about a third
+    rows += [(300, ""), (301, None), (302, "a b"), (303, "A\tb"), (304, "a c")]
+    rows += [(400 + i, near(rng, base[0], 1)) for i in range(60)]  # a large group
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)).collect()}
+    assert got == brute_similar(rows)
+    assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wide_fingerprint_of_one_shingle_is_its_hash():
+    h = simhash.shingle_hashes("one two", 5)
+    assert len(h) == 1 and simhash.wide_fingerprint(h)[0] != 0 and (simhash.wide_fingerprint(simhash.shingle_hashes(" ", 5)) == 0).all()
