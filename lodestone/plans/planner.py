@@ -77,7 +77,7 @@ def bounded(candidates: DataFrame, per_section: int = 200) -> DataFrame:
     return candidates.withColumn("_n", rank).where(F.col("_n") <= per_section).drop("_n")
 
 
-def _candidate(rows: DataFrame, section: str, **columns) -> DataFrame:
+def _candidate(rows: DataFrame, section: str, /, **columns) -> DataFrame:
     base = {
         "request_id": F.col("request_id"), "section": F.lit(section), "path": F.col("path"), "line_start": F.lit(1), "line_end": F.lit(80), "title": name("path"), "reason": F.lit(""),
         "content": F.lit(""), "confidence": F.lit(1.0), "priority": F.lit(2), "git_boost": F.coalesce(F.col("git_boost"), F.lit(0.0)) if "git_boost" in rows.columns else F.lit(0.0), "symbol_id": F.lit(None).cast("string"),
