@@ -195,12 +195,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     k1 = _text_hash(docs)
     by_doc = if_small(by_doc, SMALL)
     joined = docs.join(by_doc, (_document(docs["doc_id"].cast("long"), k1) == by_doc["_document"]) & (k1 == by_doc["_k1"]), "left").drop("_document", "_k1")
-    split = F.split(docs["text"], "\n")
-    # A set of places as a map keeps long documents from being searched place by place.
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    many = F.array_join(F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))), lambda i: F.element_at(split, i + 1)), "\n")
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    # Where many lines go, the places that stay are found as a set. explode makes the lines a column, taken apart once.
+    joined = joined.withColumn("_split", F.explode(F.array(F.when(F.size("_gone") > 64, F.split(docs["text"], "\n")))))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone")))
+    many = F.array_join(F.transform(stay, lambda i: F.element_at("_split", i + 1)), "\n")
     text = F.when(F.col("_gone").isNull(), docs["text"]).when(F.size("_gone") <= 64, kept).otherwise(many)
-    return joined.withColumn("_kept", text)
+    return joined.withColumn("_kept", text).drop("_split")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,11 @@ def test_similar_documents(spark):
     rows += [(300, ""), (301, None), (302, "a b"), (303, "A\tb"), (304, "a c")]
     rows += [(400 + i, near(rng, base[0], 1)) for i in range(60)]  # a large group
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)).collect()}
-    assert got == brute_similar(rows)
+    # Nothing below 0.8 is linked. Links at 0.8 are found with a chance of 0.99 each, those of 0.84 or more surely enough.
+    want, sure = brute_similar(rows), brute_similar(rows, 0.84)
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert all(got[d] == got[c] for d, c in sure.items())
+    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
     assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
