@@ -28,20 +28,19 @@ def matching_lines(text: Column, needle: str, *, case_sensitive: bool = False) -
     shown = F.split(text, "\n", -1)
     searched = shown if case_sensitive else F.split(fold(text), "\n", -1)
     parts = (needle if case_sensitive else folded(needle)).split("\n")
+    # Lines that follow lie beside each line, so no expression within the loop takes the text apart again.
+    columns = [shown.alias("content"), searched.alias("s0"), *[F.slice(searched, F.lit(k + 1), F.size(searched)).alias(f"s{k}") for k in range(1, len(parts))]]
 
-    def at(i: Column, k: int) -> Column:
-        return F.get(searched, i + k)
-
-    def hit(x: Column, i: Column) -> Column:
+    def hit(x: Column) -> Column:
         if len(parts) == 1:
-            return F.contains(x, F.lit(parts[0]))
-        found = F.endswith(x, F.lit(parts[0])) & F.coalesce(F.startswith(at(i, len(parts) - 1), F.lit(parts[-1])), F.lit(False))
+            return F.contains(x["s0"], F.lit(parts[0]))
+        found = F.endswith(x["s0"], F.lit(parts[0])) & F.coalesce(F.startswith(x[f"s{len(parts) - 1}"], F.lit(parts[-1])), F.lit(False))
         for k, part in enumerate(parts[1:-1], 1):
-            found = found & F.coalesce(at(i, k) == part, F.lit(False))
+            found = found & F.coalesce(x[f"s{k}"] == part, F.lit(False))
         return found
 
-    marked = F.transform(searched, lambda x, i: F.when(hit(x, i), i))
-    return F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.struct((i + 1).alias("line"), F.get(shown, i).alias("content")))
+    marked = F.transform(F.arrays_zip(*columns), lambda x, i: F.when(hit(x), F.struct((i + 1).alias("line"), x["content"].alias("content"))))
+    return F.filter(marked, lambda m: m.isNotNull())
 
 
 def _contains(text: Column, needle: str, case_sensitive: bool) -> Column:

@@ -197,8 +197,13 @@ def extract(files: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, Dat
 
 def resolve(symbols: DataFrame, raw: DataFrame) -> DataFrame:
     """Relations with their targets: of the symbols of that name or qualified name, other than the source, the first of
-    a preferred kind, else the first; none keeps a null target. Relations inside tests also give tested_by, turned round."""
+    a preferred kind, else the first; none keeps a null target. Relations inside tests also give tested_by, turned round.
+
+    Of each name and kind only the first two symbols can be a target (the second where the first is the source itself),
+    so a name that many symbols share meets its relations with a few rows.
+    """
     named = symbols.select(F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("qualified_name")))).alias("_key"), F.col("id").alias("target_symbol_id"), F.col("kind").alias("_kind"), F.struct("file_path", "ord").alias("_ord"))
+    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_kind").orderBy("_ord"))).where("_n <= 2").drop("_n")
     wanted = F.create_map(*[x for k, v in PREFERRED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     keyed = raw.withColumn("_row", F.struct("file_path", "ord")).withColumn("_key", F.lower("target_name"))
     found = keyed.join(named, "_key").where(F.col("target_symbol_id") != F.col("source_symbol_id"))
