@@ -170,8 +170,8 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     return hot_join(marked, stored(named, "fingerprint-components"), ["fp"], "n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
-#: The wide form: words of a fingerprint, sampled keys, their bits, the radius within the first word that candidates must keep, and the largest bucket all of whose pairs are looked at.
-WORDS, KEYS, KEY_BITS, NEAR_RADIUS, NEAR_SMALL = 4, 112, 20, 18, 64
+#: Words of the wide form.
+WORDS = 4
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -204,70 +204,187 @@ def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
     return out
 
 
+#: Documents whose shingles are counted to tell frequent ones, the count from which one is frequent and how many of them go to the tasks at most; the members up to which all pairs of a bucket are looked at; the hubs of a larger one at most.
+SAMPLE, FREQUENT, MOST, NEAR_SMALL, HUBS = 20_000, 3, 200_000, 8, 3
+#: Words of a set's parity signature.
+PARITY = 4
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY * 64 bits, each the parity of the hashes that fall on it: two sets' signatures differ in no more bits than the sets in members."""
+    return np.packbits((np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(others, frequent) among the first n - ceil(similarity * n) + 1 hashes of a sorted set of n, frequent ones last, by rank.
+
+    Any two sets of that Jaccard similarity share at least similarity * n of either's hashes, and hence, whatever the
+    order, one hash of both prefixes: what lies beyond a prefix is too little to hold all that they share.
+    """
+    n = len(hashes)
+    keep = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+    at = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
+    hit = frequent[at] == hashes if len(frequent) else np.zeros(n, bool)
+    first = hashes[~hit][:keep]
+    return first, hashes[hit][np.argsort(rank[at[hit]])][: keep - len(first)]
+
+
+def possible(size_a, size_b, differing, similarity: float):
+    """Whether sets of these sizes whose signatures differ in so many bits can have the similarity; works on numbers, arrays and columns."""
+    least = (size_a >= similarity * size_b - 1e-6) & (size_b >= similarity * size_a - 1e-6)
+    return least & (differing <= (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
 def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, small: int = 1_000_000) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of at least `similarity`.
 
-    At that similarity fingerprints differ in too many bits for blocks that must agree, so each is indexed by KEYS
-    samples of KEY_BITS of its 256 bits; a link of 0.8 shares one with a chance of 0.99, one of 0.85 of 0.9999. Within
-    a bucket pivot tables and distances in the first word leave candidates (a spanning forest in large buckets, another
-    in each of the samples), whose similarity is then taken exactly. Documents with equal fingerprints are one class and
-    linked; blank ones are one class. Rows with one doc_id count as one document; null ids have no component.
+    No link is lost: linked sets share a shingle of their prefixes, so every link lies in a bucket (a shingle, the
+    sets that have it in their prefix). In small buckets all pairs are candidates. In larger ones all members are
+    compared with a hub, and with another as long as they are not yet one component; where that leaves several, all
+    pairs of different components are candidates.
+    Sizes and parity signatures discard pairs only where they prove a lower similarity; that of the rest is taken
+    exactly. Documents with equal sets are one class and linked; blank ones are one class. Rows with one doc_id count
+    as one document; null ids have no component.
     """
-    names = [f"f{k}" for k in range(WORDS)]
+    spark = docs.sparkSession
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    words = [f"p{k}" for k in range(PARITY)]
+    member = ["id", "size", *words]
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column(1)], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(found[:, k])) for k in range(WORDS)]], ["doc_id", *names])
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py(), width).view(np.int64))], ["g"])
         release()
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    marked = stored(texts.mapInArrow(mark, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "wide-fingerprints")
-    classes = stored(marked.groupBy(*names).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "wide-classes")
-    rng = np.random.default_rng(7)
-    samples = [rng.permutation(64 * WORDS)[:KEY_BITS] for _ in range(KEYS)]
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    sample = texts.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(texts.count(), 1))) < SAMPLE)
+    counts = stored(sample.select("text").mapInArrow(spread, "g long").groupBy("g").count().where(F.col("count") >= FREQUENT), "shingle-counts")
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
+    got = counts.where(F.col("count") >= total // MOST + 1).toPandas()  # at most MOST rows
+    hashes, times = got["g"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    rank = np.empty(len(hashes), np.int64)
+    rank[np.lexsort((hashes, times))] = np.arange(len(hashes))
+    order = np.argsort(hashes)
+    known = spark.sparkContext.broadcast((hashes[order], rank[order]))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                fps = np.column_stack([part.column(k).to_numpy() for k in range(WORDS)])
-                bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-                keys = np.concatenate([(k << KEY_BITS) + bits[:, x].astype(np.int64) @ weights for k, x in enumerate(samples)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(fps[:, 0], KEYS)), pa.array(np.tile(part.column(WORDS).to_numpy(), KEYS))], ["key", "fp", "id"])
+            for at in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(at, 500), []
+                for t in part.column(1):
+                    h = shingle_hashes(t.as_py(), width)
+                    same = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
+                    rows.append((*same.tolist(), len(h), *parity(h).view(np.int64).tolist(), *(x.view(np.int64) for x in prefix(h, *known.value, similarity))))
+                columns = list(zip(*rows))
+                kinds = [pa.int64()] * (3 + PARITY) + [pa.list_(pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "h0", "h1", "size", *words, "others", "frequent"])
         release()
 
-    refs = pivots()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, id_ in whole_buckets(batches):
-            i, j = pairs_of_buckets(key, fp.view(np.uint64), refs, NEAR_RADIUS, NEAR_SMALL)
-            u, v = np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    schema = "doc_id long, h0 long, h1 long, size long, " + ", ".join(f"{w} long" for w in words) + ", others array<long>, frequent array<long>"
+    marked = stored(texts.mapInArrow(mark, schema), "shingle-marks")
+    values = ["size", *words, "others", "frequent"]
+    classes = stored(marked.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in values]), "shingle-classes")
+    sets_ = classes.where("first_id is not null").withColumnRenamed("first_id", "id")
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs u, v of small buckets; members u of larger ones, with their bucket g."""
+        for key, id_, size in whole_buckets(batches):
+            u, v, big = [], [], np.zeros(len(key), bool)
+            cuts = np.flatnonzero(np.diff(key)) + 1
+            sizes = np.diff(np.concatenate(([0], cuts, [len(key)])))
+            of = np.repeat(sizes, sizes)
+            big = of > NEAR_SMALL
+            pos = np.flatnonzero((of > 1) & ~big)
+            for s in range(1, NEAR_SMALL):
+                if len(pos) <= s:
+                    break
+                i, j = pos[:-s][same := key[pos[:-s]] == key[pos[s:]]], pos[s:][same]
+                if not len(i):
+                    break
+                ok = possible(size[i], size[j], 0, similarity) & (id_[i] != id_[j])
+                u.append(np.minimum(id_[i[ok]], id_[j[ok]]))
+                v.append(np.maximum(id_[i[ok]], id_[j[ok]]))
+            u, v = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (u, v))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big])], ["u", "v", "g"])
         release()
 
-    keyed = classes.where("first_id is not null").select(*names, "first_id").mapInArrow(index, "key long, fp long, id long")
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").where("u <> v").distinct()
-    pairs = stored(pairs, "wide-candidates")
+    keyed = sets_.select(F.explode("others").alias("g"), "id", "size")
+    found = stored(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(buckets, "u long, v long, g long"), "shingle-buckets")
+    large = found.where("g is not null").select("g", F.col("u").alias("id")).distinct().join(sets_.select(*member), "id").select("g", *member)
+    large = stored(large.unionByName(sets_.select(F.explode("frequent").alias("g"), *member)), "shingle-members")
+
+    def close(a, b):
+        """possible() for two structs of member."""
+        bits = sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in words), F.lit(0))
+        return possible(a["size"], b["size"], bits, similarity)
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        """u, v of rows whose structs a and b may be linked."""
+        ids = rows.where(close(F.col("a"), F.col("b")) & (F.col("a.id") != F.col("b.id")))
+        return ids.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+
+    struct = F.struct(*member)
+    few = found.where("v is not null").select("u", "v").distinct()
+    side = lambda c, name: sets_.select(F.col("id").alias(c), struct.alias(name))
+    few = pairs_of(few.join(side("u", "a"), "u").join(side("v", "b"), "v"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingle_hashes(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "hashes"])
+                got = [shingle_hashes(t.as_py(), width).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.list_(pa.int64()))], ["id", "hashes"])
         release()
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    shingles = stored(texts.join(if_small(wanted, small), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "wide-shingles")
-    of = lambda c: shingles.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    common = F.size(F.array_intersect("u_hashes", "v_hashes"))
-    linked = both.where(common >= similarity * (F.size("u_hashes") + F.size("v_hashes") - common)).select("u", "v").distinct()
-    labels = connected(stored(linked, "wide-links"))
-    named = classes.join(labels, classes["first_id"] == labels["node"], "left").select(*names, "n", F.coalesce("label", "first_id").alias("component_id"))
-    return hot_join(marked, stored(named, "wide-components"), names, "n", F.col("doc_id")).select("doc_id", "component_id")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of u, v whose similarity is high enough."""
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+        shingles = stored(texts.join(if_small(wanted, small), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "shingle-sets")
+        of = lambda c: shingles.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
+        both = pairs.join(of("u"), "u").join(of("v"), "v")
+        common = F.size(F.array_intersect("u_hashes", "v_hashes"))
+        return stored(both.where(common >= similarity * (F.size("u_hashes") + F.size("v_hashes") - common)).select("u", "v").distinct(), "shingle-links")
+
+    linked = verified(stored(few, "shingle-candidates"))
+    for k in range(HUBS + 1):
+        labels = stored(connected(linked), "shingle-labels")
+        placed = large.join(labels, large["id"] == labels["node"], "left").select("g", *member, F.coalesce("label", "id").alias("label"))
+        placed = stored(placed, "shingle-placed")
+        hub = F.min_by(F.struct(*member, "label"), F.xxhash64("id", F.lit(k))).alias("hub")
+        split = stored(placed.groupBy("g").agg(F.count("*").alias("m"), hub, F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most"), "shingle-open")
+        large = stored(hot_join(placed, split, ["g"], "m", F.col("id")).where("hub is not null"), "shingle-members")
+        if k == HUBS or split.isEmpty():
+            break
+        near = pairs_of(large.where("label <> hub.label").select(struct.alias("a"), F.col("hub").alias("b")))
+        linked = stored(linked.unionByName(verified(stored(near, "shingle-candidates"))), "shingle-links")
+        large = large.select("g", *member)
+    if not split.isEmpty():  # several components are left: all pairs between these
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns in whole_buckets(batches):
+                key, cuts = columns[0], np.flatnonzero(np.diff(columns[0])) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(key)]):
+                    own = [c[a:b] for c in columns]
+                    own = [c[np.argsort(own[2], kind="stable")] for c in own]
+                    _, id_, size, label = own[:4]
+                    sign = np.column_stack(own[4:]).view(np.uint64)
+                    ends = np.searchsorted(size, size / similarity + 1e-3, side="right")
+                    for i, end in enumerate(ends):
+                        j = np.arange(i + 1, end)
+                        j = j[label[j] != label[i]]
+                        j = j[possible(size[i], size[j], np.bitwise_count(sign[j] ^ sign[i]).sum(axis=1, dtype=np.int64), similarity)]
+                        if len(j):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))], ["u", "v"])
+            release()
+
+        pairs = large.select("g", "id", "size", "label", *words).repartition("g").sortWithinPartitions("g").mapInArrow(rest, "u long, v long").where("u <> v").distinct()
+        linked = linked.unionByName(verified(stored(pairs, "shingle-candidates")))
+        labels = connected(stored(linked, "shingle-links"))
+    named = classes.join(labels, classes["first_id"] == labels["node"], "left").select("h0", "h1", "n", F.coalesce("label", "first_id").alias("component_id"))
+    return hot_join(marked.select("doc_id", "h0", "h1"), stored(named, "shingle-components"), ["h0", "h1"], "n", F.col("doc_id")).select("doc_id", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -132,3 +132,16 @@ def test_similar_documents(spark):
 def test_wide_fingerprint_of_one_shingle_is_its_hash():
     h = simhash.shingle_hashes("one two", 5)
     assert len(h) == 1 and simhash.wide_fingerprint(h)[0] != 0 and (simhash.wide_fingerprint(simhash.shingle_hashes(" ", 5)) == 0).all()
+
+
+def test_large_families_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"v{rng.integers(10**9)}"
+    rows, passage = [], [word() for _ in range(60)]  # common to all, alone a similarity of about 0.7
+    for i in range(150):
+        own = [word() for _ in range(7)]
+        rows += [(1000 + i, " ".join(passage + own + [word() for _ in range(3)])), (2000 + i, " ".join(passage + own + [word() for _ in range(3)]))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_similar(rows)
+    assert len(set(want.values())) == 150
+    assert got == want
