@@ -145,3 +145,14 @@ def test_large_families_lose_no_link(spark):
     want = brute_similar(rows)
     assert len(set(want.values())) == 150
     assert got == want
+
+
+def test_links_of_exactly_the_least_similarity_are_found(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):  # 4 of 5 shingles to 48 of 60 in common
+        n = 4 * int(rng.integers(1, 13))
+        text = [f"v{rng.integers(10**9)}" for _ in range(n + n // 4 + 4)]
+        rows += [(2 * i, " ".join(text[: n + 4])), (2 * i + 1, " ".join(text))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows} == brute_similar(rows)
