@@ -6,7 +6,8 @@ shorter gram occurs, whatever the class), so a rare expression is judged by its
 the sum over its characters; a document's are normalised by length, over the whole text, over its most toxic stretch of
 three words and over the most toxic fiftieth of its words. A logistic curve fitted to training documents that the counts left out turns them into a score.
 
-Counts grow with the corpus and stay in Spark; only tables of a fixed size (2^20 entries each) go to the tasks.
+Counts stay in Spark; the ratios of the distinct 5-grams and contexts, 12 bytes each, go to the tasks. Each has a key
+of 62 bits, so grams don't share an entry, and one that was not counted backs off.
 
 Defined cases: null and empty texts have no words and get the score of a ratio of zero; null labels are no labels; of
 several labels of a doc_id the highest counts; without both classes in training every score is 0; an empty table gives
@@ -34,8 +35,8 @@ CURVE_ROWS = 20_000
 #: Labels (12 bytes each) that may be broadcast.
 BROADCAST_LABELS = 1_000_000
 _FIRST, _LAST = "\x02", "\x03"
-#: Rolling hash of a gram: h * 1000003 + code point, modulo the prime 2^31 - 1; the same in SQL and NumPy.
-_MUL, _MOD = 1000003, 2**31 - 1
+#: Rolling hashes of a gram: h * multiplier + code point, modulo the prime 2^31 - 1; the same in SQL and NumPy. The first alone gives a bucket, both the key.
+_MUL, _MUL2, _MOD = 1000003, 48271, 2**31 - 1
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -66,18 +67,21 @@ def _shared(grams: DataFrame) -> DataFrame:
     return p
 
 
-def _hash(gram: Column, n: int) -> Column:
+def _hash(gram: Column, n: int, mul: int = _MUL) -> Column:
     h = F.lit(0).cast("long")
     for i in range(n):
-        h = (h * _MUL + F.ascii(F.substring(gram, i + 1, 1))) % _MOD
+        h = (h * mul + F.ascii(F.substring(gram, i + 1, 1))) % _MOD
     return h
 
 
+def _key(gram: Column, n: int) -> Column:
+    return _hash(gram, n) * 2**31 + _hash(gram, n, _MUL2)
+
+
 def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seen, unseen): log-likelihood ratios by bucket of seen 5-grams, and of a context's unseen 5-grams.
+    """(seen, unseen): log-likelihood ratios r by key k of seen 5-grams, and of a context's unseen 5-grams; b is the key's bucket.
 
     Of an unseen gram the shared probability cancels, and the ratio is that of the two classes' backoff weights.
-    Grams of one bucket are averaged by their counts.
     """
     grams = grams.withColumn("x", F.substring("g", 1, ORDER - 1)).withColumn("s", F.substring("g", 2, ORDER - 1))
     classes = ("toxic", "ordinary")
@@ -86,33 +90,46 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     backoff = {c: F.when(F.col(f"n_{c}") > 0, DISCOUNT * F.col(f"t_{c}") / F.col(f"n_{c}")).otherwise(F.lit(1.0)) for c in classes}
     chance = {c: F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(F.lit(0.0)) + backoff[c] * F.col("p") for c in classes}
     found = grams.join(context, "x").join(shared, "s")
-    weight = F.col("toxic") + F.col("ordinary")
-    seen = found.select((_hash(F.col("g"), ORDER) % 2**BITS).alias("b"), weight.alias("w"), F.ln(chance["toxic"] / chance["ordinary"]).alias("r"))
-    unseen = context.select((_hash(F.col("x"), ORDER - 1) % 2**BITS).alias("b"), (F.col("n_toxic") + F.col("n_ordinary")).alias("w"), F.ln(backoff["toxic"] / backoff["ordinary"]).alias("r"))
-    return tuple(t.groupBy("b").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("r")) for t in (seen, unseen))
+    seen = found.select(_key(F.col("g"), ORDER).alias("k"), F.ln(chance["toxic"] / chance["ordinary"]).alias("r"))
+    unseen = context.select(_key(F.col("x"), ORDER - 1).alias("k"), F.ln(backoff["toxic"] / backoff["ordinary"]).alias("r"))
+    return tuple(t.select("k", (F.shiftright("k", 31) % 2**BITS).alias("b"), "r") for t in (seen, unseen))
+
+
+def _found(table: np.ndarray, keys: np.ndarray | None, asked: np.ndarray) -> np.ndarray:
+    """The entries of the asked keys, NaN where there are none. Without keys each bucket holds the gram asked for."""
+    if keys is None:
+        return table[(asked >> 31) % 2**BITS]
+    if not len(keys):
+        return np.full(len(asked), np.nan, np.float32)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, table[at], np.float32(np.nan))
 
 
 @dataclass
 class Model:
-    """Tables of a fixed size, and the curve: bias and the weights of the three measures."""
+    """Tables with their sorted keys, and the curve: bias and the weights of the three measures."""
 
     seen: np.ndarray
     unseen: np.ndarray
     curve: tuple[float, ...] | None = None
+    seen_keys: np.ndarray | None = None
+    unseen_keys: np.ndarray | None = None
 
     def word_ratios(self, words: list[str]) -> np.ndarray:
         codes = np.frombuffer("".join(f"{_FIRST * (ORDER - 1)}{w}{_LAST}" for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        h = np.zeros(max(len(codes) - ORDER + 1, 0), np.int64)
+        h, h2 = (np.zeros(max(len(codes) - ORDER + 1, 0), np.int64) for _ in range(2))
         for i in range(ORDER):
-            h = (h * _MUL + codes[i : len(codes) - ORDER + 1 + i]) % _MOD
+            c = codes[i : len(codes) - ORDER + 1 + i]
+            h, h2 = (h * _MUL + c) % _MOD, (h2 * _MUL2 + c) % _MOD
             if i == ORDER - 2:
-                context = h
+                context = h << 31 | h2
         # Grams that reach into the next word are those that begin in its padding's first places.
         ends = np.cumsum(sizes + ORDER - 1)
         own = np.arange(sizes.sum()) + np.repeat((ends - sizes - ORDER + 1) - (np.cumsum(sizes) - sizes), sizes)
-        r = self.seen[h[own] % 2**BITS]
-        r = np.where(np.isnan(r), self.unseen[context[own] % 2**BITS], r)
+        r = _found(self.seen, self.seen_keys, (h << 31 | h2)[own])
+        lacking = np.isnan(r)
+        r[lacking] = _found(self.unseen, self.unseen_keys, context[own][lacking])
         return np.add.reduceat(np.nan_to_num(r, nan=0.0).astype(np.float64), np.cumsum(sizes) - sizes)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -169,10 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, curve_rows: int = CURVE_ROWS) ->
     """Counts from all of folds 1 to 3, curve from about curve_rows of fold 4 at most. Both use no column but the text."""
     rows = training_rows(docs, labels)
     grams = stored(gram_counts(word_counts(rows.where("fold <= 3"))), "toxic-grams")
-    model = Model(*[np.full(2**BITS, np.nan, np.float32) for _ in range(2)])
-    for table, found in zip((model.seen, model.unseen), ratios(grams)):
-        got = found.toPandas()  # at most 2^BITS rows
-        table[got["b"].to_numpy(np.int64)] = got["r"].to_numpy(np.float32)
+    tables = []
+    for found in ratios(grams):
+        got = found.select("k", F.col("r").cast("float").alias("r")).toPandas().sort_values("k")
+        tables.append((got["k"].to_numpy(np.int64), got["r"].to_numpy(np.float32)))
+    (seen_keys, seen), (unseen_keys, unseen) = tables
+    model = Model(seen, unseen, seen_keys=seen_keys, unseen_keys=unseen_keys)
     left_out = rows.where("fold = 4")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(max(left_out.select("doc_id").count(), 1))) < curve_rows
     sample = left_out.where(share).select("text", "toxic")

@@ -82,3 +82,24 @@ def test_cases(spark):
     assert all(r["score"] == 0 for r in toxicity.report(docs, labels.where("toxic = 0")).collect())
     assert toxicity.report(docs.limit(0), labels).count() == 0
     assert toxicity.report(docs, labels.limit(0)).count() == 63
+
+
+def test_grams_of_one_bucket_are_told_apart(spark):
+    def buckets(word):
+        for i in range(len(word) + 1):
+            h = 0
+            for c in ("\x02" * 4 + word + "\x03")[i : i + 5]:
+                h = (h * 1000003 + ord(c)) % (2**31 - 1)
+            yield h % 2**20
+
+    docs = [(i, "vile fool" if i % 2 else "calm sea") for i in range(60)]
+    words = Counter((w, i % 2) for i, t in docs if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) for w in t.split())
+    words = {w: (words[w, 1], words[w, 0]) for w, _ in words}
+    taken = {b for w in words for b in buckets(w)}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    inner = (f"q{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters)
+    asked = [w for w in inner if any(b in taken for b in list(buckets(w))[2:])][:3]  # unseen grams in the buckets of seen ones
+    assert asked
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    for word, got in zip([*words, *asked], model.word_ratios([*words, *asked])):
+        assert got == pytest.approx(brute_ratio(words, word), abs=1e-4)
