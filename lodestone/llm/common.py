@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +23,12 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def release() -> None:
-    """Gives back what Arrow holds for later: a worker lives on after its task."""
+    """Gives back what Arrow and the C library hold for later: a worker lives on after its task."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
 
 
 def hot_join(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, spread: Column, share: int = 1000) -> DataFrame:

@@ -129,7 +129,7 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
     """Columns (key first) of rows sorted by key, cut only between buckets."""
     held: list[list[np.ndarray]] = []  # rows whose bucket may go on in the next batch
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(columns[0]):
             continue
         cut = int(np.searchsorted(columns[0], columns[0][-1]))
@@ -170,10 +170,6 @@ def near_duplicates(docs: DataFrame, **columns) -> DataFrame:
     return hot_join(marked, stored(named, "fingerprint-components"), ["fp"], "n", F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
-#: Words of the wide form.
-WORDS = 4
-
-
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Distinct 64-bit hashes of a text's word shingles, sorted; a shorter text is one shingle, a blank one none."""
     import xxhash
@@ -188,38 +184,42 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts, last)), np.uint64, n))
 
 
-def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """A SimHash of words * 64 bits: each further word mixes the shingles' hashes anew."""
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(z), 65536):
-            ones += np.unpackbits(z[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        if len(z):
-            out[k] = np.packbits(ones * 2 > len(z), bitorder="little").view(np.uint64)[0]
-    return out
+#: Documents whose shingles are counted to tell frequent ones, the count from which one is frequent and how many of them
+#: go to the tasks at most; the members up to which all pairs of a bucket are listed at once, from which on it gets
+#: hubs, and its hubs at most; the members of a bucket that one task compares with as many others. They decide about
+#: work and order, not about links.
+SAMPLE, FREQUENT, MOST, FEW, MANY, HUBS, PART = 20_000, 3, 200_000, 8, 64, 6, 4096
+#: 64-bit words of the shortest signature.
+NARROW = 4
 
 
-#: Documents whose shingles are counted to tell frequent ones, the count from which one is frequent and how many of them go to the tasks at most; the members up to which all pairs of a bucket are looked at; the hubs of a larger one at most.
-SAMPLE, FREQUENT, MOST, NEAR_SMALL, HUBS = 20_000, 3, 200_000, 8, 3
-#: Words of a set's parity signature.
-PARITY = 4
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """A set's signature with a proven bound: bits (a power of two, twice the set's size at least), each the parity of
+    the hashes that fall on it. Two signatures of one length differ in no more bits than their sets in members."""
+    bits = max(64 * NARROW, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64 * NARROW
+    at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY * 64 bits, each the parity of the hashes that fall on it: two sets' signatures differ in no more bits than the sets in members."""
-    return np.packbits((np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """The same set's signature of fewer words."""
+    while len(signature) > words:
+        signature = signature[: len(signature) // 2] ^ signature[len(signature) // 2 :]
+    return signature
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two signatures differ, at the shorter one's length: a lower bound of the sets' symmetric difference."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum())
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(others, frequent) among the first n - ceil(similarity * n) + 1 hashes of a sorted set of n, frequent ones last, by rank.
 
     Any two sets of that Jaccard similarity share at least similarity * n of either's hashes, and hence, whatever the
-    order, one hash of both prefixes: what lies beyond a prefix is too little to hold all that they share.
+    order, the first hash that they share is in both prefixes: what lies beyond is too little to hold all that they share.
     """
     n = len(hashes)
     keep = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
@@ -229,27 +229,75 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarit
     return first, hashes[hit][np.argsort(rank[at[hit]])][: keep - len(first)]
 
 
-def possible(size_a, size_b, differing, similarity: float):
-    """Whether sets of these sizes whose signatures differ in so many bits can have the similarity; works on numbers, arrays and columns."""
+def possible(size_a, size_b, apart, similarity: float):
+    """Whether sets of these sizes that differ in at least so many members can have the similarity."""
     least = (size_a >= similarity * size_b - 1e-6) & (size_b >= similarity * size_a - 1e-6)
-    return least & (differing <= (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return least & (apart <= (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+
+
+def _pairs_of_few(key, id_, size, place, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs u < v of buckets of up to FEW members, and where the rows of larger ones are."""
+    cuts = np.flatnonzero(np.diff(key)) + 1
+    sizes = np.diff(np.concatenate(([0], cuts, [len(key)])))
+    of, u, v = np.repeat(sizes, sizes), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    pos = np.flatnonzero((of > 1) & (of <= FEW))
+    for s in range(1, FEW):
+        i, j = (x[key[pos[:-s]] == key[pos[s:]]] for x in (pos[:-s], pos[s:]))
+        ok = possible(size[i], size[j], place[i] + place[j], similarity) & (id_[i] != id_[j])
+        u.append(np.minimum(id_[i[ok]], id_[j[ok]]))
+        v.append(np.maximum(id_[i[ok]], id_[j[ok]]))
+    return np.concatenate(u), np.concatenate(v), np.flatnonzero(of > FEW)
+
+
+def _pairs_of_many(id_, size, place, label, part, sign, across: bool, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket that may be linked and whose components differ; `across`: of different parts only.
+
+    A member is compared with those of like size. Discarded is what the places in the prefixes rule out, then what the
+    pivot distance table does (Hamming distances to reference signatures, by maximum coordinate difference), then what
+    the signatures do.
+    """
+    order = np.argsort(size, kind="stable")
+    id_, size, place, label, part, sign = (x[order] for x in (id_, size, place, label, part, sign))
+    signs = [np.frombuffer(x, np.uint64) for x in sign]
+    widths = np.array([len(x) for x in signs])  # ascending, as sizes are
+    ends = np.searchsorted(size, size / similarity + 1e-3, side="right")
+    for width in np.unique(widths):
+        first, last = np.searchsorted(widths, [width, width + 1])
+        to = int(ends[last - 1])
+        own = np.stack([folded(x, width) for x in signs[first:to]])
+        refs = np.random.default_rng(42).integers(0, 2**64, (PIVOTS, width), dtype=np.uint64)
+        table = np.stack([np.bitwise_count(own ^ ref).sum(axis=1, dtype=np.int64) for ref in refs], axis=1)
+        for i in range(first, last):
+            j = np.arange(i + 1, ends[i])
+            j = j[(label[j] != label[i]) & (id_[j] != id_[i]) & (part[j] != part[i] if across else True)]
+            most = (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            for apart in (
+                lambda j: place[j] + place[i],
+                lambda j: np.abs(table[j - first] - table[i - first]).max(axis=1, initial=0),
+                lambda j: np.bitwise_count(own[j - first] ^ own[i - first]).sum(axis=1, dtype=np.int64),
+            ):
+                ok = apart(j) <= most
+                j, most = j[ok], most[ok]
+            if len(j):
+                yield np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])
 
 
 def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, small: int = 1_000_000) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of at least `similarity`.
 
-    No link is lost: linked sets share a shingle of their prefixes, so every link lies in a bucket (a shingle, the
-    sets that have it in their prefix). In small buckets all pairs are candidates. In larger ones all members are
-    compared with a hub, and with another as long as they are not yet one component; where that leaves several, all
-    pairs of different components are candidates.
-    Sizes and parity signatures discard pairs only where they prove a lower similarity; that of the rest is taken
-    exactly. Documents with equal sets are one class and linked; blank ones are one class. Rows with one doc_id count
-    as one document; null ids have no component.
+    No link is lost: linked sets share a shingle of their prefixes, so every link lies in a bucket (a shingle, the sets
+    that have it in their prefix), and in that of the first shingle they share the sets' places there, up to which
+    nothing is shared, add up to no more than linked sets differ in. In small buckets all such pairs are candidates.
+    Members of large buckets are compared with a hub, and with another as long as hubs connect much; of what is still
+    apart in all but the small buckets, pairs are candidates that neither places nor pivot distance tables nor
+    signatures discard. A bucket of more than PART members is compared part by part in several tasks.
+    Sizes, places and parity signatures discard pairs only where they prove a lower similarity; that of the rest is
+    taken exactly. Documents with equal sets are one class and linked; blank ones are one class. Rows with one doc_id
+    count as one document; null ids have no component.
     """
     spark = docs.sparkSession
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    words = [f"p{k}" for k in range(PARITY)]
-    member = ["id", "size", *words]
+    member = ["id", "size", "place"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,8 +308,8 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int =
     sample = texts.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(texts.count(), 1))) < SAMPLE)
     counts = stored(sample.select("text").mapInArrow(spread, "g long").groupBy("g").count().where(F.col("count") >= FREQUENT), "shingle-counts")
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).first()["n"]
-    got = counts.where(F.col("count") >= total // MOST + 1).toPandas()  # at most MOST rows
-    hashes, times = got["g"].to_numpy(np.int64).view(np.uint64), got["count"].to_numpy(np.int64)
+    got = counts.where(F.col("count") >= total // MOST + 1).toArrow()  # at most MOST rows
+    hashes, times = got["g"].to_numpy().view(np.uint64), got["count"].to_numpy()
     rank = np.empty(len(hashes), np.int64)
     rank[np.lexsort((hashes, times))] = np.arange(len(hashes))
     order = np.argsort(hashes)
@@ -276,60 +324,39 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int =
                 for t in part.column(1):
                     h = shingle_hashes(t.as_py(), width)
                     same = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64)
-                    rows.append((*same.tolist(), len(h), *parity(h).view(np.int64).tolist(), *(x.view(np.int64) for x in prefix(h, *known.value, similarity))))
-                columns = list(zip(*rows))
-                kinds = [pa.int64()] * (3 + PARITY) + [pa.list_(pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "h0", "h1", "size", *words, "others", "frequent"])
+                    rows.append((*same.tolist(), len(h), parity(h).tobytes(), *(x.view(np.int64) for x in prefix(h, *known.value, similarity))))
+                kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.list_(pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], ["doc_id", "h0", "h1", "size", "sign", "others", "frequent"])
         release()
 
-    schema = "doc_id long, h0 long, h1 long, size long, " + ", ".join(f"{w} long" for w in words) + ", others array<long>, frequent array<long>"
-    marked = stored(texts.mapInArrow(mark, schema), "shingle-marks")
-    values = ["size", *words, "others", "frequent"]
-    classes = stored(marked.groupBy("h0", "h1").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in values]), "shingle-classes")
+    marked = stored(texts.mapInArrow(mark, "doc_id long, h0 long, h1 long, size long, sign binary, others array<long>, frequent array<long>"), "shingle-marks")
+    known.unpersist()
+    equal = marked.groupBy("h0", "h1")
+    classes = stored(equal.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first(F.size("others")).alias("rarer"), *[F.first(c).alias(c) for c in ("size", "sign", "frequent")]), "shingle-classes")
     sets_ = classes.where("first_id is not null").withColumnRenamed("first_id", "id")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs u, v of small buckets; members u of larger ones, with their bucket g."""
-        for key, id_, size in whole_buckets(batches):
-            u, v, big = [], [], np.zeros(len(key), bool)
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            sizes = np.diff(np.concatenate(([0], cuts, [len(key)])))
-            of = np.repeat(sizes, sizes)
-            big = of > NEAR_SMALL
-            pos = np.flatnonzero((of > 1) & ~big)
-            for s in range(1, NEAR_SMALL):
-                if len(pos) <= s:
-                    break
-                i, j = pos[:-s][same := key[pos[:-s]] == key[pos[s:]]], pos[s:][same]
-                if not len(i):
-                    break
-                ok = possible(size[i], size[j], 0, similarity) & (id_[i] != id_[j])
-                u.append(np.minimum(id_[i[ok]], id_[j[ok]]))
-                v.append(np.maximum(id_[i[ok]], id_[j[ok]]))
-            u, v = (np.concatenate([*x, np.empty(0, np.int64)]) for x in (u, v))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["u", "v", "g"])
-            yield pa.RecordBatch.from_arrays([pa.array(id_[big]), pa.nulls(int(big.sum()), pa.int64()), pa.array(key[big])], ["u", "v", "g"])
+        """Pairs u, v of small buckets; members u of larger ones, with their bucket g, size and place."""
+        for key, id_, size, place in whole_buckets(batches):
+            u, v, big = _pairs_of_few(key, id_, size, place, similarity)
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none, none, none], ["u", "v", "g", "size", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(id_[big]), pa.nulls(len(big), pa.int64()), *[pa.array(x[big]) for x in (key, size, place)]], ["u", "v", "g", "size", "place"])
         release()
 
-    keyed = sets_.select(F.explode("others").alias("g"), "id", "size")
-    found = stored(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(buckets, "u long, v long, g long"), "shingle-buckets")
-    large = found.where("g is not null").select("g", F.col("u").alias("id")).distinct().join(sets_.select(*member), "id").select("g", *member)
-    large = stored(large.unionByName(sets_.select(F.explode("frequent").alias("g"), *member)), "shingle-members")
-
-    def close(a, b):
-        """possible() for two structs of member."""
-        bits = sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in words), F.lit(0))
-        return possible(a["size"], b["size"], bits, similarity)
+    # The long arrays of prefixes go straight from their classes to the buckets and are not written again.
+    keyed = equal.agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("others").alias("others")).where("id is not null")
+    keyed = keyed.select(F.posexplode("others").alias("place", "g"), "id", "size").select("g", "id", "size", F.col("place").cast("long").alias("place"))
+    found = stored(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(buckets, "u long, v long, g long, size long, place long"), "shingle-buckets")
+    common = sets_.select("id", "size", "rarer", F.posexplode("frequent").alias("place", "g")).withColumn("place", F.col("rarer") + F.col("place"))
+    large = found.where("g is not null").select("g", F.col("u").alias("id"), "size", "place").unionByName(common.select("g", *member))
 
-    def pairs_of(rows: DataFrame) -> DataFrame:
-        """u, v of rows whose structs a and b may be linked."""
-        ids = rows.where(close(F.col("a"), F.col("b")) & (F.col("a.id") != F.col("b.id")))
-        return ids.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-
-    struct = F.struct(*member)
-    few = found.where("v is not null").select("u", "v").distinct()
-    side = lambda c, name: sets_.select(F.col("id").alias(c), struct.alias(name))
-    few = pairs_of(few.join(side("u", "a"), "u").join(side("v", "b"), "v"))
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, size_u, size_v = (batch.column(c).to_numpy() for c in range(4))
+            apart = np.fromiter((differing(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))), np.int64, len(u))
+            ok = possible(size_u, size_v, apart, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,49 +367,53 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int =
         release()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of u, v whose similarity is high enough."""
+        """Those of u, v whose similarity is high enough. Only what the signatures leave open is compared by its sets."""
+        side = lambda c: sets_.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sign").alias(f"sign_{c}"))
+        both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "size_u", "size_v", "sign_u", "sign_v")
+        pairs = stored(both.mapInArrow(screen, "u long, v long"), "shingle-candidates")
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
         shingles = stored(texts.join(if_small(wanted, small), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "shingle-sets")
         of = lambda c: shingles.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
         both = pairs.join(of("u"), "u").join(of("v"), "v")
-        common = F.size(F.array_intersect("u_hashes", "v_hashes"))
-        return stored(both.where(common >= similarity * (F.size("u_hashes") + F.size("v_hashes") - common)).select("u", "v").distinct(), "shingle-links")
-
-    linked = verified(stored(few, "shingle-candidates"))
-    for k in range(HUBS + 1):
-        labels = stored(connected(linked), "shingle-labels")
-        placed = large.join(labels, large["id"] == labels["node"], "left").select("g", *member, F.coalesce("label", "id").alias("label"))
-        placed = stored(placed, "shingle-placed")
-        hub = F.min_by(F.struct(*member, "label"), F.xxhash64("id", F.lit(k))).alias("hub")
-        split = stored(placed.groupBy("g").agg(F.count("*").alias("m"), hub, F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most"), "shingle-open")
-        large = stored(hot_join(placed, split, ["g"], "m", F.col("id")).where("hub is not null"), "shingle-members")
-        if k == HUBS or split.isEmpty():
+        shared = F.size(F.array_intersect("u_hashes", "v_hashes"))
+        return stored(both.where(shared >= similarity * (F.size("u_hashes") + F.size("v_hashes") - shared)).select("u", "v").distinct(), "shingle-links")
+
+    def hubs_of(k: int) -> DataFrame:
+        """g, m, hub: buckets whose members are not yet one component."""
+        hub = F.min_by(F.struct("id", "size", "label"), F.xxhash64("id", F.lit(k))).alias("hub")
+        return stored(large.groupBy("g").agg(F.count("*").alias("m"), hub, F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").drop("least", "most"), "shingle-open")
+
+    large = stored(large.withColumn("label", F.col("id")), "shingle-members")
+    pairs, linked = found.where("v is not null").select("u", "v"), None
+    for k in range(HUBS):
+        open_ = hubs_of(k)
+        with_hub = stored(hot_join(large, open_.where(F.col("m") > MANY), ["g"], "m", F.col("id")).where("hub is not null and label <> hub.label"), "shingle-hubs")
+        near = with_hub.where(possible(F.col("size"), F.col("hub.size"), 0, similarity)).select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v"))
+        more = verified(near if k else pairs.unionByName(near))
+        linked = more if linked is None else stored(linked.unionByName(more), "shingle-links")
+        if more.count() * 4 < with_hub.count() or with_hub.isEmpty():  # hubs find little: what is left isn't alike
             break
-        near = pairs_of(large.where("label <> hub.label").select(struct.alias("a"), F.col("hub").alias("b")))
-        linked = stored(linked.unionByName(verified(stored(near, "shingle-candidates"))), "shingle-links")
-        large = large.select("g", *member)
-    if not split.isEmpty():  # several components are left: all pairs between these
-
-        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for columns in whole_buckets(batches):
-                key, cuts = columns[0], np.flatnonzero(np.diff(columns[0])) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(key)]):
-                    own = [c[a:b] for c in columns]
-                    own = [c[np.argsort(own[2], kind="stable")] for c in own]
-                    _, id_, size, label = own[:4]
-                    sign = np.column_stack(own[4:]).view(np.uint64)
-                    ends = np.searchsorted(size, size / similarity + 1e-3, side="right")
-                    for i, end in enumerate(ends):
-                        j = np.arange(i + 1, end)
-                        j = j[label[j] != label[i]]
-                        j = j[possible(size[i], size[j], np.bitwise_count(sign[j] ^ sign[i]).sum(axis=1, dtype=np.int64), similarity)]
-                        if len(j):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(id_[i], id_[j])), pa.array(np.maximum(id_[i], id_[j]))], ["u", "v"])
-            release()
-
-        pairs = large.select("g", "id", "size", "label", *words).repartition("g").sortWithinPartitions("g").mapInArrow(rest, "u long, v long").where("u <> v").distinct()
-        linked = linked.unionByName(verified(stored(pairs, "shingle-candidates")))
-        labels = connected(stored(linked, "shingle-links"))
+        labels = connected(linked)
+        large = large.drop("label").join(labels, large["id"] == labels["node"], "left").select("g", *member, F.coalesce("label", "id").alias("label"))
+        large = stored(large, "shingle-members")
+    open_ = hot_join(large, hubs_of(HUBS).drop("hub") if k else open_.drop("hub"), ["g"], "m", F.col("id")).where("m is not null")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in whole_buckets(batches):
+            cuts = np.flatnonzero(np.diff(columns[0]) | np.diff(columns[1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(columns[0])]):
+                across, *own = (c[a:b] for c in columns[1:])
+                for u, v in _pairs_of_many(*own, bool(across[0]), similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        release()
+
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    key = F.when(F.col("m") > PART, F.xxhash64("g", F.least("part", "other"), F.greatest("part", "other"))).otherwise(F.col("g"))
+    open_ = open_.select(key.alias("key"), (F.col("part") != F.col("other")).cast("long").alias("across"), "id", "size", "place", "label", F.col("part").cast("long").alias("part"))
+    open_ = open_.join(sets_.select("id", "sign"), "id").select("key", "across", "id", "size", "place", "label", "part", "sign")
+    pairs = open_.repartition("key").sortWithinPartitions("key", "across").mapInArrow(rest, "u long, v long")
+    labels = connected(linked.unionByName(verified(pairs)))
     named = classes.join(labels, classes["first_id"] == labels["node"], "left").select("h0", "h1", "n", F.coalesce("label", "first_id").alias("component_id"))
     return hot_join(marked.select("doc_id", "h0", "h1"), stored(named, "shingle-components"), ["h0", "h1"], "n", F.col("doc_id")).select("doc_id", "component_id")
 

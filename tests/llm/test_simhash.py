@@ -121,17 +121,34 @@ def test_similar_documents(spark):
     rows += [(300, ""), (301, None), (302, "a b"), (303, "A\tb"), (304, "a c")]
     rows += [(400 + i, near(rng, base[0], 1)) for i in range(60)]  # a large group
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA)).collect()}
-    # Nothing below 0.8 is linked. Links at 0.8 are found with a chance of 0.99 each, those of 0.84 or more surely enough.
-    want, sure = brute_similar(rows), brute_similar(rows, 0.84)
-    assert all(want[d] == want[c] for d, c in got.items())
-    assert all(got[d] == got[c] for d, c in sure.items())
-    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+    assert got == brute_similar(rows)
     assert simhash.similar_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_wide_fingerprint_of_one_shingle_is_its_hash():
-    h = simhash.shingle_hashes("one two", 5)
-    assert len(h) == 1 and simhash.wide_fingerprint(h)[0] != 0 and (simhash.wide_fingerprint(simhash.shingle_hashes(" ", 5)) == 0).all()
+def test_signatures_differ_in_no_more_bits_than_their_sets():
+    rng = np.random.default_rng(4)
+    for n, m, both in [(0, 0, 0), (1, 0, 0), (0, 1, 3), (5, 9, 100), (30, 4, 200), (400, 900, 50), (3000, 100, 3000)]:
+        common, a, b = (np.unique(rng.integers(0, 2**64, k, dtype=np.uint64)) for k in (both, n, m))
+        x, y = np.union1d(common, a).astype(np.uint64), np.union1d(common, b).astype(np.uint64)
+        apart = simhash.differing(simhash.parity(x).tobytes(), simhash.parity(y).tobytes())
+        assert 0.5 * min(n + m, 200) <= apart <= n + m and (apart - n - m) % 2 == 0
+        narrow = [simhash.folded(simhash.parity(s), simhash.NARROW) for s in (x, y)]
+        assert np.bitwise_count(narrow[0] ^ narrow[1]).sum() <= apart
+
+
+def test_parts_of_a_large_bucket_hold_all_its_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for i in range(60):  # pairs that link, of which no three do
+        own = [f"w{rng.integers(10**9)}" for _ in range(5)]
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common + own + ["x"]))]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_similar(rows, 0.95)
+    whole = simhash.similar_documents(docs, similarity=0.95).collect()
+    monkeypatch.setattr(simhash, "PART", 7)
+    parts = simhash.similar_documents(docs, similarity=0.95).collect()
+    assert {r["doc_id"]: r["component_id"] for r in whole} == {r["doc_id"]: r["component_id"] for r in parts} == want
+    assert len(set(want.values())) == 60
 
 
 def test_large_families_lose_no_link(spark):
