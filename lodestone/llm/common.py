@@ -8,6 +8,7 @@ import sys
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 from ..tables import shared_dir, stored  # noqa: F401
 
@@ -16,10 +17,37 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def if_small(df: DataFrame, rows: int) -> DataFrame:
-    """df, stored, and to be broadcast if it has at most `rows` rows; beyond, joins with it shuffle."""
+#: Bytes of a side that may be broadcast, counted before it is.
+BROADCAST = 64 << 20
+
+
+def _bytes(field: StructField) -> Column:
+    """Bytes that a value takes at most in a row in memory."""
+    if isinstance(field.dataType, ArrayType):
+        return F.coalesce(F.size(field.name), F.lit(0)) * 8 + 32
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+    return F.lit(32)
+
+
+def if_small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """df, stored, and to be broadcast if its rows take at most `most` bytes; beyond, joins with it shuffle. Columns: numbers, texts and arrays of numbers."""
     df = stored(df, "side")
-    return F.broadcast(df) if df.count() <= rows else df
+    size = sum((_bytes(f) for f in df.schema), F.lit(16)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(size).alias("n")).first()["n"] or 0) <= most else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as keeps them apart from df's columns."""
+    taken, line = {c.lower() for c in df.columns}, ""
+    while any((line + n).lower() in taken for n in names):
+        line += "_"
+    return [line + n for n in names]
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names."""
+    return [df["`" + c.replace("`", "``") + "`"] for c in df.columns]
 
 
 def release() -> None:

@@ -14,6 +14,9 @@ in quarters around which a partner agrees.
 Defined cases: blank lines always stay; a null text stays null and has no lines; "earliest" is by doc_id (nulls last),
 then text hash, then line; rows with equal doc_id and text are one document and are treated alike; an empty table gives
 no rows; further columns pass through unchanged and may have any names.
+
+Hot keys: a line's verdict meets its occurrences by hot_join. Variants and keepers are unique on one side of their
+joins, so Spark splits a large partition of the other side; what is grouped is summed before it is shuffled.
 """
 
 from __future__ import annotations
@@ -23,12 +26,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, if_small, stored
+from .common import columns_of, fresh, hot_join, if_small, stored
 
 #: A single edit among at least this many words is a similarity of 0.8 or more; shorter lines must be equal.
 NEAR_WORDS = 5
-#: Documents whose line numbers may be broadcast instead of shuffling all texts to them.
-SMALL = 200_000
 
 
 def _text_hash(docs: DataFrame) -> Column:
@@ -115,9 +116,9 @@ def _texts(docs: DataFrame, distinct: DataFrame, chosen: DataFrame) -> DataFrame
     document, line = F.floor(F.col("first") / F.lit(Decimal(10**10))).cast("decimal(28,0)"), (F.col("first") % F.lit(Decimal(10**10))).cast("int")
     wanted = stored(distinct.join(chosen, ["h1", "h2"]).select("h1", "h2", "first", "n", document.alias("document"), line.alias("line")), "line-wanted")
     texts = docs.select(_document(docs["doc_id"].cast("long"), _text_hash(docs)).alias("document"), docs["text"].alias("text"))
-    found = texts.join(if_small(wanted.select("document").distinct(), SMALL), "document", "left_semi")
+    found = texts.join(if_small(wanted.select("document").distinct()), "document", "left_semi")
     found = found.select("document", F.posexplode(_lines(F.col("text"))).alias("line", "of"))
-    found = found.join(if_small(wanted, SMALL), ["document", "line"]).select("first", "n", "h1", "h2", F.trim("of").alias("of"))
+    found = found.join(if_small(wanted), ["document", "line"]).select("first", "n", "h1", "h2", F.trim("of").alias("of"))
     return found.where(F.xxhash64("of") == F.col("h1"))
 
 
@@ -187,30 +188,31 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines, found.select(own.alias("document"), "k1", "line", F.col("keeper").isNotNull().alias("near"), doc.alias("keeper_doc"), (keeper % F.lit(Decimal(10**10))).cast("int").alias("keeper_line"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with _kept (the text without the lines that go, null text: null), _lines, _removed, _near and _gone (the lines that go, from 0)."""
+def dedup(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """docs with three more columns, and their names, which no column of docs has: the text without the lines that go
+    (null text: null), the lines that go (from 0; null: none) and how many of them only nearly equal an earlier line."""
     lines, removed = removals(docs)
-    by_doc = removed.dropDuplicates(["document", "k1", "line"]).groupBy("document", "k1").agg(F.array_sort(F.collect_list("line")).alias("_gone"), F.count_if("near").alias("_near"))
-    by_doc = by_doc.select(F.col("document").alias("_document"), F.col("k1").alias("_k1"), "_gone", "_near")
-    k1 = _text_hash(docs)
-    by_doc = if_small(by_doc, SMALL)
-    joined = docs.join(by_doc, (_document(docs["doc_id"].cast("long"), k1) == by_doc["_document"]) & (k1 == by_doc["_k1"]), "left").drop("_document", "_k1")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    kept_, gone_, near_, document_, k1_, split_ = fresh(docs, "kept", "gone", "near", "document", "k1", "split")
+    by_doc = removed.dropDuplicates(["document", "k1", "line"]).groupBy("document", "k1").agg(F.array_sort(F.collect_list("line")).alias(gone_), F.count_if("near").alias(near_))
+    by_doc = if_small(by_doc.withColumnsRenamed({"document": document_, "k1": k1_}))
+    k1, text, gone = _text_hash(docs), docs["text"], by_doc[gone_]
+    joined = docs.join(by_doc, (_document(docs["doc_id"].cast("long"), k1) == by_doc[document_]) & (k1 == by_doc[k1_]), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
     # Where many lines go, the places that stay are found as a set. explode makes the lines a column, taken apart once.
-    joined = joined.withColumn("_split", F.explode(F.array(F.when(F.size("_gone") > 64, F.split(docs["text"], "\n")))))
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone")))
-    many = F.array_join(F.transform(stay, lambda i: F.element_at("_split", i + 1)), "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).when(F.size("_gone") <= 64, kept).otherwise(many)
-    return joined.withColumn("_kept", text).drop("_split")
+    joined = joined.withColumn(split_, F.explode(F.array(F.when(F.size(gone) > 64, F.split(text, "\n")))))
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split_) - 1), gone))
+    many = F.array_join(F.transform(stay, lambda i: F.element_at(split_, i + 1)), "\n")
+    without = F.when(gone.isNull(), text).when(F.size(gone) <= 64, kept).otherwise(many)
+    return joined.select(*columns_of(docs), without.alias(kept_), gone, by_doc[near_]), kept_, gone_, near_
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, n_near, removed (places of the lines that go, from 0), kept_text for every document."""
-    found = dedup(docs.select("doc_id", "text"))
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    found, kept, gone, near = dedup(docs.select("doc_id", "text"))
+    gone = F.coalesce(gone, F.array().cast("array<int>"))
     return found.select(
-        "doc_id", F.size(gone).cast("long").alias("n_removed"), F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"),
-        F.array_join(gone.cast("array<string>"), ",").alias("removed"), F.col("_kept").alias("kept_text"),
+        "doc_id", F.size(gone).cast("long").alias("n_removed"), F.coalesce(near, F.lit(0)).cast("long").alias("n_near"),
+        F.array_join(gone.cast("array<string>"), ",").alias("removed"), F.col(kept).alias("kept_text"),
     )
 
 

@@ -46,16 +46,17 @@ def targets(sized: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, repeat
     return each.select("source", "rank", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def streams(docs: DataFrame, *, text_col: str = "text", buckets: int = 256) -> DataFrame:
+def streams(docs: DataFrame, *, text_col: str = "text", bucket_rows: int = 100_000) -> DataFrame:
     """doc_id, source, size, uid and `start`, the words of the source's stream before the document.
 
-    A running sum in two levels, so that no source meets in one task: sums by source and bucket of the order key, then
-    a window within each bucket.
+    A running sum in two levels, so that no source meets in one task: sums by source and bucket (a range of the order
+    key), then a window within each bucket. There are as many buckets as keep one near `bucket_rows` rows; the order is the key's.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = stored(docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("uid")), "mix-sizes")
-    sized = sized.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % buckets)
+    buckets = max(256, -(-sized.count() // bucket_rows))
+    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / 2**28).cast("long"))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -142,7 +143,7 @@ goals AS (
   SELECT source, source_size, CASE WHEN lim <= level * weight THEN lim ELSE coalesce(max(level) FILTER (lim > level * weight) OVER (), 0.0) * weight END AS target FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, least(CAST(round(g.target) AS BIGINT), 2 * g.source_size) AS words,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY CAST('0x' || substr(key, 1, 4) AS INT) % 256, key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(greatest(0, least(a + size, words) - least(a, words)) + greatest(0, least(a + size, words - source_size) - least(a, greatest(words - source_size, 0))) AS BIGINT) AS taken

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import release, stored
 from .tokens import encoder
 
 LIMIT, END = 1024, 2
@@ -43,6 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, end: int = EN
             columns = list(zip(*out)) or [()] * 5
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, _FIELDS)
@@ -167,13 +168,15 @@ def lookup(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def pack(cut: DataFrame, *, limit: int = LIMIT, buckets: int = 64) -> DataFrame:
+def pack(cut: DataFrame, *, limit: int = LIMIT, bucket_rows: int = 100_000) -> DataFrame:
     """cut (with a `length` of 1 to `limit`) with sequence_id and offset.
 
-    A length's pieces are numbered in two levels, by bucket and within it, so that no length meets in one task. To the
-    driver go at most `limit` counts.
+    A length's pieces are numbered in two levels, by bucket and within it, so that no length meets in one task: there
+    are as many buckets as keep one near `bucket_rows` rows if all pieces had one length. To the driver go at most
+    `limit` counts.
     """
     spark = cut.sparkSession
+    buckets = max(64, -(-cut.count() // bucket_rows))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = stored(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

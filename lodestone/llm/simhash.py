@@ -282,7 +282,7 @@ def _pairs_of_many(id_, size, place, label, part, sign, across: bool, similarity
                 yield np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j])
 
 
-def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, small: int = 1_000_000) -> DataFrame:
+def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard similarity of their word shingles of at least `similarity`.
 
     No link is lost: linked sets share a shingle of their prefixes, so every link lies in a bucket (a shingle, the sets
@@ -372,7 +372,7 @@ def similar_documents(docs: DataFrame, *, similarity: float = 0.8, width: int =
         both = pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "size_u", "size_v", "sign_u", "sign_v")
         pairs = stored(both.mapInArrow(screen, "u long, v long"), "shingle-candidates")
         wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        shingles = stored(texts.join(if_small(wanted, small), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "shingle-sets")
+        shingles = stored(texts.join(if_small(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, hashes array<long>"), "shingle-sets")
         of = lambda c: shingles.select(F.col("id").alias(c), F.col("hashes").alias(f"{c}_hashes"))
         both = pairs.join(of("u"), "u").join(of("v"), "v")
         shared = F.size(F.array_intersect("u_hashes", "v_hashes"))

@@ -25,15 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, release, stored
+from .common import GAP, if_small, release, stored
 
 ORDER, DISCOUNT, BITS, STRETCH = 5, 0.75, 20, 3
 #: A document's share of words whose mean is its third measure; three words at least.
 FIFTIETH, MEASURES = 50, 3
 #: Labelled rows that the logistic curve (four numbers) is fitted to, by a hash of doc_id: this many at most, but for chance.
 CURVE_ROWS = 20_000
-#: Labels (12 bytes each) that may be broadcast.
-BROADCAST_LABELS = 1_000_000
 _FIRST, _LAST = "\x02", "\x03"
 #: Rolling hashes of a gram: h * multiplier + code point, modulo the prime 2^31 - 1; the same in SQL and NumPy. The first alone gives a bucket, both the key.
 _MUL, _MUL2, _MOD = 1000003, 48271, 2**31 - 1
@@ -53,10 +51,10 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """g, p: the shared model's probability of each (ORDER-1)-gram's last character, by interpolated continuation counts."""
-    levels = {ORDER - 1: grams.select(F.substring("g", 2, ORDER - 1).alias("g")).groupBy("g").agg(F.count("*").alias("c"))}
-    for k in range(ORDER - 2, 0, -1):
-        levels[k] = levels[k + 1].select(F.substring("g", 2, k).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    """g, p: the shared model's probability of each (ORDER-1)-gram's last character, by interpolated continuation counts. Each level is stored once."""
+    longer, levels = grams, {}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = longer = stored(longer.groupBy(F.substring("g", 2, k).alias("g")).agg(F.count("*").alias("c")), "toxic-level")
     total = levels[1].agg(F.sum("c").alias("n"))
     p = levels[1].join(F.broadcast(total)).select("g", (F.col("c") / F.col("n")).alias("p"))
     for k in range(2, ORDER):
@@ -86,6 +84,7 @@ def ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = grams.withColumn("x", F.substring("g", 1, ORDER - 1)).withColumn("s", F.substring("g", 2, ORDER - 1))
     classes = ("toxic", "ordinary")
     context = grams.groupBy("x").agg(*[F.sum(c).alias(f"n_{c}") for c in classes], *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in classes])
+    context = stored(context, "toxic-contexts")
     shared = _shared(grams).select(F.col("g").alias("s"), "p")
     backoff = {c: F.when(F.col(f"n_{c}") > 0, DISCOUNT * F.col(f"t_{c}") / F.col(f"n_{c}")).otherwise(F.lit(1.0)) for c in classes}
     chance = {c: F.when(F.col(f"n_{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n_{c}")).otherwise(F.lit(0.0)) + backoff[c] * F.col("p") for c in classes}
@@ -176,9 +175,7 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic, fold for labelled documents outside the held-out fold (crc32 of the doc_id's text, modulo 5, is 0)."""
     toxic = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    # Up to BROADCAST_LABELS labels go to the texts; beyond, texts and labels meet by a shuffle.
-    toxic = F.broadcast(toxic) if toxic.count() <= BROADCAST_LABELS else toxic
-    kept = docs.select("doc_id", "text").where("text is not null").join(toxic, "doc_id")
+    kept = docs.select("doc_id", "text").where("text is not null").join(if_small(toxic), "doc_id")
     return kept.withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).where("fold <> 0")
 
 
@@ -188,8 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, curve_rows: int = CURVE_ROWS) ->
     grams = stored(gram_counts(word_counts(rows.where("fold <= 3"))), "toxic-grams")
     tables = []
     for found in ratios(grams):
-        got = found.select("k", F.col("r").cast("float").alias("r")).toPandas().sort_values("k")
-        tables.append((got["k"].to_numpy(np.int64), got["r"].to_numpy(np.float32)))
+        got = found.select("k", F.col("r").cast("float").alias("r")).toArrow()
+        keys, values = got["k"].to_numpy(), got["r"].to_numpy()
+        order = np.argsort(keys)
+        tables.append((keys[order], values[order]))
     (seen_keys, seen), (unseen_keys, unseen) = tables
     model = Model(seen, unseen, seen_keys=seen_keys, unseen_keys=unseen_keys)
     left_out = rows.where("fold = 4")
@@ -203,9 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, curve_rows: int = CURVE_ROWS) ->
             yield pa.array(shared.value.features_of(part).tolist(), pa.list_(pa.float64()))
         release()
 
-    got = sample.select("toxic", features("text").alias("x")).toPandas()
-    if got["toxic"].nunique() == 2:
-        model.curve = _curve(np.stack(got["x"].to_numpy()), got["toxic"].to_numpy(np.float64))
+    got = sample.select("toxic", features("text").alias("x")).toArrow()
+    shared.unpersist()
+    if len(got["toxic"].unique()) == 2:
+        model.curve = _curve(np.array(got["x"].to_pylist()), got["toxic"].to_numpy().astype(np.float64))
     return model
 
 

@@ -70,8 +70,9 @@ def test_repeated_rows_are_one_document(spark):
 def test_empty_and_columns(spark):
     assert run(spark, []) == {}
     frame = spark.createDataFrame([(1, f"{LINE}\n{LINE}", "src", 7)], "doc_id long, text string, source string, n_lines int")
-    row = linededup.dedup(frame).first()
-    assert row["_kept"] == LINE and row["n_lines"] == 7 and row["_gone"] == [1]
+    found, kept, gone, _ = linededup.dedup(frame)
+    row = found.first()
+    assert row[kept] == LINE and row["n_lines"] == 7 and row[gone] == [1]
 
 
 def test_keeper(spark):

@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -80,6 +81,34 @@ def test_repeated_and_null_rows(spark):
     assert corpus_pipeline.drop_lines(spark, docs, SF).count() == 5
 
 
+CLASHING = "gone kept near split document k1 _gone _kept _split _document _k1 _near _lines _removed id times copy _id _times _copy _h_doc_id _l_doc_id _heavy _light _scatter uid start words size rank bucket key label line place h1 h2 n component_id first_id g u v".split()
+
+
+def test_clashing_names_and_long_texts(spark):
+    rng = np.random.default_rng(3)
+    long = " ".join(f"v{x}" for x in rng.integers(0, 50_000, 120_000))
+    rows = [(i, f"same line of six words here\nown line number {i} of this text\n{'twice ' * 6}", "en", "ab"[i % 2], 9) for i in range(12)]
+    rows += [(20, long, "en", "a", len(long)), (21, long + " more", "en", "b", len(long) + 5), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *range(len(CLASHING))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHING))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == CLASHING
+        docs = docs.cache()
+        got = docs.collect()
+        assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in got)
+        seen[name] = sorted({r["doc_id"] for r in got if r["doc_id"] is not None})
+    assert seen["toxicity"] == [*range(12), 20, 21]
+    assert 20 in seen["simhash_near_dedup"] and 21 not in seen["simhash_near_dedup"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).where("doc_id = 20").count() > 100
+
+
+def test_documents_without_labels(spark, tmp_path):
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_entry_names():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
