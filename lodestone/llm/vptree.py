@@ -3,8 +3,10 @@
 Unit vectors make the cosine order that of Euclidean distance, which obeys the triangle inequality. A tree node parts its
 vectors by their distance to a vantage point; a side is passed over if the least distance that the inequality allows for
 it, times `factor`, exceeds the distance of the worst neighbour so far. Factor 1 is exact; higher factors pass over more.
-Equal vectors are held once, with all their ids, so a group of copies costs one comparison. Scores are computed again
-from the original vectors, in double precision, dimension by dimension.
+Equal vectors are held once, with all their ids, so a group of copies costs one comparison. A first descent finds how
+near the k-th neighbour is, a second one every vector that is as near but for a proven rounding error; scores of all of
+those are computed from the original vectors, in double precision, dimension by dimension, and decide with the ids. So
+ties and near ties cost time, but are told apart as brute force does.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
 queries are compared with vectors of their own dimension; repeated rows are candidates each, but never for their own id;
@@ -13,6 +15,8 @@ ties go to the smaller id; an empty table gives no rows; further columns are ign
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +25,14 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SHARD, QUERIES, LEAF, FACTOR = 4096, 4096, 64, 1.0
-SLACK = 1e-9  # of distances computed by matrix products
-SPARE = 8  # candidates beyond k that are scored exactly
+SHARD, QUERIES, LEAF, FACTOR = 16384, 16384, 64, 1.0
+PAIRS = 200_000  # scored at once
+
+
+def rounding(dim: int) -> float:
+    """More than the cosine of two vectors by a matrix product of unit vectors and the one by sums can differ: either
+    takes dim products and sums for the numerator, as many for each norm and a few more steps, each off by 2^-53 at most."""
+    return (8 * dim + 64) * 2.0**-53
 
 
 def usable(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -80,38 +89,56 @@ def build_tree(unit: np.ndarray, *, leaf: int = LEAF, seed: int = 7) -> tuple[np
     return order, np.array(nodes, dtype=np.float64), np.array(points).reshape(-1, unit.shape[1])
 
 
-def search_tree(unit: np.ndarray, nodes: np.ndarray, points: np.ndarray, queries: np.ndarray, k: int, keep: int, factor: float) -> np.ndarray:
-    """Rows of `unit` (in tree order) nearest to each query, `keep` of them (-1: none). Sides are pruned by the k-th distance so far."""
-    nearest = np.full((len(queries), keep), np.inf)
-    which = np.full((len(queries), keep), -1, np.int64)
-
-    def visit(node: int, q: np.ndarray) -> None:
-        a, b, vantage = int(nodes[node, 0]), int(nodes[node, 1]), int(nodes[node, 2])
-        if not len(q):
-            return
-        if vantage < 0:
-            for at in range(a, b, 1024):
-                to = min(at + 1024, b)
-                d = np.sqrt(np.maximum(2 - 2 * queries[q] @ unit[at:to].T, 0))
-                both = np.concatenate([nearest[q], d], axis=1)
-                ids = np.concatenate([which[q], np.broadcast_to(np.arange(at, to), d.shape)], axis=1)
-                best = np.argsort(both, axis=1, kind="stable")[:, :keep]
-                nearest[q], which[q] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
-            return
-        d = np.sqrt(np.maximum(2 - 2 * queries[q] @ points[vantage], 0))
-        near = d <= nodes[node, 3]
-        inside, outside = int(nodes[node, 6]), int(nodes[node, 7])
-        visit(inside, q[near])
-        visit(outside, q[~near])
-        visit(outside, q[near & ((nodes[node, 5] - d - SLACK) * factor <= nearest[q, k - 1])])
-        visit(inside, q[~near & ((d - nodes[node, 4] - SLACK) * factor <= nearest[q, k - 1])])
-
-    visit(0, np.arange(len(queries)))
-    return which
+def search_tree(unit: np.ndarray, nodes: np.ndarray, points: np.ndarray, queries: np.ndarray, k: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in `queries` and `unit` (in tree order): all but for `factor` that may be among a query's k nearest."""
+    error = rounding(unit.shape[1])
+    slack = 4 * np.sqrt(2 * error)  # of the distances in one comparison: near zero a root makes the error large
+    nearest = np.full((len(queries), k), np.inf)  # squares
+
+    def descend(leaf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Visits the nearer side first; nearest is asked again when a side's turn comes."""
+        stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+        while stack:
+            node, q, least = stack.pop()
+            q = q[(least - slack) * factor <= np.sqrt(nearest[q, -1])]
+            if not len(q):
+                continue
+            a, b, vantage = int(nodes[node, 0]), int(nodes[node, 1]), int(nodes[node, 2])
+            if vantage < 0:
+                for at in range(a, b, 256):
+                    square = np.maximum(2 - 2 * queries[q] @ unit[at : min(at + 256, b)].T, 0)
+                    yield from leaf(q, at, square)
+                continue
+            d = np.sqrt(np.maximum(2 - 2 * queries[q] @ points[vantage], 0))
+            near, inside, outside = d <= nodes[node, 3], int(nodes[node, 6]), int(nodes[node, 7])
+            stack.append((outside, q[near], nodes[node, 5] - d[near]))
+            stack.append((inside, q[~near], d[~near] - nodes[node, 4]))
+            stack.append((outside, q[~near], np.zeros(int((~near).sum()))))
+            stack.append((inside, q[near], np.zeros(int(near.sum()))))
+
+    def measure(q: np.ndarray, at: int, square: np.ndarray) -> Iterator:
+        both = np.concatenate([nearest[q], square], axis=1)
+        nearest[q] = np.partition(both, range(k), axis=1)[:, :k]
+        return iter(())
+
+    def collect(q: np.ndarray, at: int, square: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = np.nonzero(square <= nearest[q, -1:])
+        yield q[i], at + j
+
+    for _ in descend(measure):
+        pass
+    nearest += 4 * error  # cosines of twice the error less
+    yield from descend(collect)
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine but keeps the squares of large or small numbers finite."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of paired rows, by sums in the order of dimensions."""
+    a, b = _scaled(a), _scaled(b)
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for j in range(a.shape[1]):
         dot += a[:, j] * b[:, j]
@@ -120,6 +147,14 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(aa) * np.sqrt(bb))
 
 
+def _best(at: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query, by score, then id."""
+    order = np.lexsort((vec, -score, at))
+    at, score, vec = at[order], score[order], vec[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], score[keep], vec[keep]
+
+
 _INDEX = "dim int, shard long, ids binary, sizes binary, vectors binary, nodes binary, points binary"
 
 
@@ -151,8 +186,10 @@ def build_index(rows: DataFrame, *, shard_rows: int = SHARD) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, *, k: int, factor: float = FACTOR, query_rows: int = QUERIES) -> DataFrame:
     """query_uid, query_id, rank, vec_id, score: the k nearest of each query, other ids only.
 
-    Queries go in blocks against every shard; a task holds one shard and one block. A shard gives k candidates a query,
-    and the best k of those are the result.
+    Queries go in blocks against every shard; a task holds one shard and one block, both of a
+    bounded size. So every vector is copied once for each block of queries, and every query once for each shard: the
+    stated query set against all rows, whose work and copies grow with their product. A shard gives its best k of a
+    query, and the best k of those are the result.
     """
     total = max(queries.count(), 1)
     blocks = -(-total // query_rows)
@@ -172,21 +209,31 @@ def search(index: DataFrame, queries: DataFrame, *, k: int, factor: float = FACT
         v, points, nodes = v.reshape(-1, dim), points.reshape(-1, dim), nodes.reshape(-1, 8)
         starts = np.cumsum(sizes) - sizes
         q, q_ids, q_uids = _matrix(block["v"], dim), block["vec_id"].to_numpy(), block["uid"].to_numpy()
-        found = search_tree(_unit(v), nodes, points, _unit(q), k + 1, k + 1 + SPARE, factor)
-        at, col = np.nonzero(found >= 0)
-        row = found[at, col]
-        score = cosine(q[at], v[row])
-        # Of equal vectors the first k + 1 ids do, as one of them may be the query's own.
-        many = np.minimum(sizes[row], k + 1)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at, score, vec = np.repeat(at, many), np.repeat(score, many), ids[np.repeat(starts[row], many) + nth]
-        other = vec != q_ids[at]
-        at, score, vec = at[other], score[other], vec[other]
-        order = np.lexsort((vec, -score, at))
-        at, score, vec = at[order], score[order], vec[order]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        keep = place < k
-        return pa.Table.from_arrays([pa.array(q_uids[at[keep]]), pa.array(q_ids[at[keep]]), pa.array(vec[keep]), pa.array(score[keep])], names)
+        best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal best
+            at, row = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for i in range(0, len(at), PAIRS):
+                a, r = at[i : i + PAIRS], row[i : i + PAIRS]
+                score = cosine(q[a], v[r])
+                # Of equal vectors the first k + 1 ids do, as one of them may be the query's own.
+                many = np.minimum(sizes[r], k + 1)
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                a, score, vec = np.repeat(a, many), np.repeat(score, many), ids[np.repeat(starts[r], many) + nth]
+                other = vec != q_ids[a]
+                best = _best(*(np.concatenate(x) for x in zip(best, (a[other], score[other], vec[other]))), k)
+
+        for pairs in search_tree(_unit(v), nodes, points, _unit(q), k + 1, factor):
+            held.append(pairs)
+            if sum(len(x) for x, _ in held) > PAIRS:
+                settle()
+        if held:
+            settle()
+        at, score, vec = best
+        return pa.Table.from_arrays([pa.array(q_uids[at]), pa.array(q_ids[at]), pa.array(vec), pa.array(score)], names)
 
     found = trees.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(run, schema)
     best = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id")

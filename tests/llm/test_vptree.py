@@ -61,6 +61,39 @@ def test_tree_search(seed):
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     order, nodes, points = vptree.build_tree(v)
     assert sorted(order) == list(range(3000)) and len(nodes) > 50
-    found = vptree.search_tree(v[order], nodes, points, v[:40], 6, 10, 1.0)
+    at, row = (np.concatenate(x) for x in zip(*vptree.search_tree(v[order], nodes, points, v[:40], 6, 1.0)))
     for i in range(40):
-        assert set(order[found[i, :6]]) == set(np.argsort(-(v @ v[i]), kind="stable")[:6])
+        assert set(order[row[at == i]]) == set(np.argsort(-(v @ v[i]), kind="stable")[:6])
+
+
+def exact(rows, queries, k=5):
+    """(query, rank) -> id, by the operator's own cosine of every pair."""
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    out = {}
+    for q in queries:
+        at = int(np.flatnonzero(ids == q)[0])
+        score = vptree.cosine(np.repeat(v[at : at + 1], len(v), axis=0), v)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
+        out |= {(q, n + 1): (int(ids[i]), float(score[i])) for n, i in enumerate(order)}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["proportional", "last bit", "slight", "huge"])
+def test_ties_and_near_ties_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(300, 16)).astype(np.float32)
+    if kind == "proportional":  # every cosine among the first 31 is 1.0
+        v[:31] = v[0] * (2.0 ** rng.permutation(31))[:, None]
+    elif kind == "last bit":
+        v[:] = v[0]
+        v[np.arange(300), rng.integers(0, 16, 300)] = np.nextafter(v[0, rng.integers(0, 16, 300)], np.float32(9))
+    elif kind == "slight":
+        v = v[0] + (rng.normal(size=(300, 16)) * 10.0 ** rng.integers(-9, -2, (300, 1))).astype(np.float32)
+    else:
+        v = (v.astype(np.float64) * 1e200).tolist()
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vptree.report(frame).collect()}
+    assert got == exact(rows, range(0, 300, 50))
+    if kind == "proportional":
+        assert [got[0, n][0] for n in range(1, 6)] == [1, 2, 3, 4, 5]
