@@ -2,9 +2,14 @@
 
 Pieces of at most `limit` tokens have at most `limit` different lengths, so the histogram that is solved stays that
 small whatever the corpus. A configuration says how many pieces of each length share one sequence. Multiplicative
-weights price the lengths, a knapsack by dynamic programming finds the best configuration at those prices, and the
-lengths that it covers lose price. The fractional multiplicities are rounded down, what is left is packed best-fit
-decreasing over the histogram. Pieces are then numbered within their length and looked up in the solution.
+weights price the lengths: each round a knapsack by dynamic programming finds the best configuration at those prices,
+and the lengths that it covers lose price in proportion. The configurations of all rounds, scaled to the linear
+program's bound, are its fractional solution; any prices divided by their best configuration's value bound the number
+of sequences from below. Rounds end when solution and bound meet or after ROUNDS. Since so many rounds don't settle the
+prices of hundreds of lengths, two other plans compete with it: single covering passes at fixed first prices, in which a
+covered length leaves, and plain best-fit. Multiplicities are rounded down and what is left is packed best-fit
+decreasing; the plan of fewest sequences is taken, so none is worse than best-fit. Pieces are then numbered within their
+length and looked up in the solution.
 
 Defined cases: null texts are empty; an empty text is its end id alone; repeated rows are packed each; an empty table
 gives no rows; further columns are ignored.
@@ -52,14 +57,15 @@ def pieces(docs: DataFrame, tokenizer: str, *, limit: int = LIMIT, end: int = EN
 def best_configuration(value: np.ndarray, limit: int) -> dict[int, int]:
     """The multiset of lengths of the highest value within `limit`. value[l]: a length's price, 0 if it isn't for sale."""
     best, last = np.zeros(limit + 1), np.zeros(limit + 1, np.int64)
-    price = value[1:]
+    sold = np.flatnonzero(value > 0)
+    price, fits = value[sold], np.searchsorted(sold, np.arange(limit + 1), side="right")
     for c in range(1, limit + 1):
-        total = best[c - 1 :: -1][:c] + price[:c]
-        k = int(total.argmax())
-        if total[k] > best[c - 1] + 1e-12 and price[k] > 0:
-            best[c], last[c] = total[k], k + 1
-        else:
-            best[c], last[c] = best[c - 1], 0
+        best[c] = best[c - 1]
+        if fits[c]:
+            total = best[c - sold[: fits[c]]] + price[: fits[c]]
+            k = int(total.argmax())
+            if total[k] > best[c] + 1e-12:
+                best[c], last[c] = total[k], sold[k]
     found: dict[int, int] = defaultdict(int)
     c = limit
     while c > 0:
@@ -92,6 +98,38 @@ def fractional(counts: np.ndarray, power: float, *, part: float = 0.34, rate: fl
     return used
 
 
+#: Rounds of multiplicative weights at most, and how near solution and bound are to meet.
+ROUNDS, GAP = 600, 0.002
+
+
+def weighted(counts: np.ndarray, *, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(configurations and how often each is used, a lower bound of the linear program) by multiplicative weights.
+
+    A round's configuration is used as often as covers its scarcest length once; a length's weight falls by
+    exp(-rate * the share of it that this covers). The rate is what theory asks of so many rounds.
+    """
+    limit, lengths = len(counts) - 1, np.flatnonzero(counts)
+    n, weight, cover, total, bound = counts[lengths].astype(float), np.ones(len(lengths)), np.zeros(len(lengths)), 0.0, 0.0
+    rate = min(0.5, np.sqrt(len(lengths) * np.log(len(lengths) + 1) / rounds))
+    used: dict[tuple, float] = defaultdict(float)
+    for _ in range(rounds if len(lengths) else 0):
+        price = np.zeros(limit + 1)
+        price[lengths] = weight * lengths / limit
+        config = best_configuration(price, limit)
+        bound = max(bound, float(n @ price[lengths]) / sum(k * price[x] for x, k in config.items()))
+        held = np.array([config.get(int(x), 0) for x in lengths])
+        times = float((n[held > 0] / held[held > 0]).min())
+        used[tuple(sorted(config.items()))] += times
+        total += times
+        cover += held * times / n
+        weight *= np.exp(-rate * held * times / n)
+        weight /= weight.max()
+        if total <= cover.min() * bound * (1 + gap):
+            break
+    scale = bound / total if total else 0.0
+    return [(dict(c), x * scale) for c, x in used.items()], bound
+
+
 def best_fit(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing over a histogram: equal bins are kept together and filled together."""
     space: dict[int, list[list]] = defaultdict(list)  # free tokens -> [lengths, number of bins]
@@ -125,13 +163,10 @@ def best_fit(counts: dict[int, int], limit: int) -> list[tuple[dict[int, int], i
     return out
 
 
-def rounded(histogram: dict[int, int], limit: int, power: float) -> list[tuple[dict[int, int], int]]:
-    """The fractional cover with its multiplicities rounded down, and best-fit decreasing for what that leaves."""
-    left = np.zeros(limit + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    plan = []
-    for config, n in fractional(left.copy(), power):
+def rounded(counts: np.ndarray, cover: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """A fractional cover with its multiplicities rounded down, and best-fit decreasing for what that leaves."""
+    left, limit, plan = counts.copy(), len(counts) - 1, []
+    for config, n in cover:
         whole = min([int(n + 1e-9), *(int(left[x] // k) for x, k in config.items())])
         if whole:
             for x, k in config.items():
@@ -140,18 +175,28 @@ def rounded(histogram: dict[int, int], limit: int, power: float) -> list[tuple[d
     return plan + best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, limit)
 
 
-def solve(histogram: dict[int, int], limit: int = LIMIT, *, powers: tuple[float, ...] = (1.02, 1.2, 2.0)) -> list[tuple[dict[int, int], int]]:
-    """Configurations with whole multiplicities that hold exactly the histogram's pieces: the fewest sequences over several first prices."""
+def solve_within(histogram: dict[int, int], limit: int = LIMIT, *, powers: tuple[float, ...] = (1.02, 1.2, 2.0)) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """(plan, bound): configurations with whole multiplicities that hold exactly the histogram's pieces, and a number of sequences below which no plan is."""
     full = [({limit: 1}, histogram[limit])] if histogram.get(limit) else []
-    rest = {x: n for x, n in histogram.items() if x != limit and n}
-    least, best = -(-sum(x * n for x, n in rest.items()) // limit), None
+    counts = np.zeros(limit + 1, np.int64)
+    for length, n in histogram.items():
+        counts[length] = n if length != limit else 0
+    size = lambda plan: sum(n for _, n in plan)
+    bound = -(-int(counts @ np.arange(limit + 1)) // limit)
+    best = best_fit({int(x): int(counts[x]) for x in np.flatnonzero(counts)}, limit)
     for power in powers:
-        plan = rounded(rest, limit, power)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-        if sum(n for _, n in best) == least:
-            break
-    return full + best
+        if size(best) > bound:
+            best = min(best, rounded(counts, fractional(counts.copy(), power)), key=size)
+    if size(best) > bound:
+        cover, least = weighted(counts)
+        bound = max(bound, int(np.ceil(least - 1e-6)))
+        best = min(best, rounded(counts, cover), key=size)
+    return full + best, size(full) + bound
+
+
+def solve(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int], int]]:
+    """The plan alone."""
+    return solve_within(histogram, limit)[0]
 
 
 def lookup(plan: list[tuple[dict[int, int], int]]) -> np.ndarray:

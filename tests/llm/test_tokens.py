@@ -96,5 +96,22 @@ def test_solver_holds_every_piece(seed):
             held[a] = held.get(a, 0) + b * n
     assert held == histogram
     bins = sum(n for _, n in plan)
-    assert bins <= sum(n for _, n in packing.best_fit(histogram, 1024)) + 2
+    assert bins <= sum(n for _, n in packing.best_fit(histogram, 1024))
+    assert packing.solve_within(histogram)[1] <= bins
     assert packing.solve({}) == []
+
+
+def test_weights_meet_their_bound():
+    rng = np.random.default_rng(8)
+    for lengths in ([171, 256, 257, 341, 512, 513, 700], [300, 400, 500, 600], [1023, 2, 340]):
+        counts = np.zeros(1025, np.int64)
+        for x in rng.choice(lengths, 3000):
+            counts[x] += 1
+        cover, bound = packing.weighted(counts)
+        assert sum(n for _, n in cover) == pytest.approx(bound)
+        held = sum(np.array([c.get(x, 0) for x in lengths]) * n for c, n in cover) / counts[lengths]
+        assert held.min() > 0.85  # the fractional solution at the bound covers nearly all of each length
+        plan, least = packing.solve_within({x: int(counts[x]) for x in lengths})
+        bins = sum(n for _, n in plan)
+        assert bound - 1e-6 <= least <= bins <= sum(n for _, n in packing.best_fit({x: int(counts[x]) for x in lengths}, 1024))
+        assert bins <= 1.02 * least
