@@ -27,7 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[A-Za-z0-9]+")
+
+#: Wording of public licenses' paragraphs that stand in several notices.
+MIT_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 
 #: Wording of public licenses' notices, by identifier.
 TEMPLATES = {
@@ -35,12 +40,14 @@ TEMPLATES = {
         "Released under the MIT License",
         "Licensed under the MIT License",
         "SPDX-License-Identifier: MIT",
+        MIT_WARRANTY,
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
@@ -54,9 +61,23 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        BSD_CONDITIONS + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + BSD_DISCLAIMER,
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD-2-Clause": ["SPDX-License-Identifier: BSD-2-Clause", BSD_CONDITIONS + " " + BSD_DISCLAIMER],
+    "LGPL-3.0": [
+        "SPDX-License-Identifier: LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "SPDX-License-Identifier: LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "SPDX-License-Identifier: AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "ISC": ["SPDX-License-Identifier: ISC", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
@@ -66,7 +87,7 @@ TEMPLATES = {
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def align(template: list[int], text: list[int], *, band: int, offset: int) -> tuple[int, int, int, int]:
@@ -136,27 +157,26 @@ class Index:
 
     def matches(self, text: str, *, band: int = BAND, coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int, int, float]]:
         """(license, template, start, end, matched, words of the template, coverage) in order of start; spans in code points."""
-        lowered = text.lower()
         get = self.number.get
-        ids = np.array([get(w, 0) for w in _WORD.findall(lowered)], dtype=np.int64)
+        ids = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
         h = self.grams(ids)
         at = np.searchsorted(self.keys, h)
         hits = np.flatnonzero((h > 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == h))
         if not len(hits):
             return []
-        diagonals: dict[int, set[int]] = defaultdict(set)
+        diagonals: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for p in hits.tolist():
             for t, i in self.places[int(h[p])]:
-                diagonals[t].add(p - i)
-        # Where lower() changes the number of code points, spans are those of the folded text.
-        spans = [m.span() for m in _WORD.finditer(lowered)]
+                diagonals[t][p - i].append(p)
+        spans = [m.span() for m in _WORD.finditer(text)]
         listed, out = ids.tolist(), set()
         for t, offsets in diagonals.items():
             name, nth, template = self.templates[t]
-            last = None
+            last, a, b = None, 0, 0
             for offset in sorted(offsets):
-                if last is not None and offset - last <= band // 2:
-                    continue  # the band around the one before holds this diagonal
+                hit = offsets[offset]
+                if last is not None and offset - last <= band // 2 and a <= hit[0] and hit[-1] < b:
+                    continue  # the band around the one before holds this diagonal, and its match these hits
                 last = offset
                 m = len(template)
                 if offset >= 0 and listed[offset : offset + m] == template:

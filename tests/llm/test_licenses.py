@@ -2,7 +2,7 @@ import pytest
 
 from lodestone.llm import licenses
 
-MIT = licenses.TEMPLATES["MIT"][3]
+MIT = licenses.TEMPLATES["MIT"][4]
 
 
 def brute(template, text):
@@ -54,3 +54,23 @@ def test_winnowing_keeps_every_run_of_five_words():
         grams = index.grams(licenses.np.array(ids)).tolist()
         for a in range(len(ids) - 4):
             assert any(g in index.places for g in grams[a : a + 3])
+
+
+def test_spans_are_those_of_the_text(spark):
+    text = "\u0130\u0130\u0130 Released under the MIT License"
+    assert found(spark, [text])[0][:4] == (0, "MIT", 4, 34) and text[4:34] == "Released under the MIT License"
+
+
+def test_short_notices_in_a_row_and_kin(spark):
+    kin = {n: licenses.TEMPLATES[n][-1] for n in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-2-Clause")}
+    bsd3 = licenses.TEMPLATES["BSD-3-Clause"][2]
+    got = found(spark, ["SPDX-License-Identifier: MIT\n" * 3, *kin.values(), bsd3, "SPDX-License-Identifier: MIT"])
+    assert [r[2] for r in got if r[0] == 0] == [0, 29, 58]
+    for i, (name, text) in enumerate(kin.items(), 1):
+        assert [(r[1], r[2], r[3]) for r in got if r[0] == i] == [(name, 0, len(text.rstrip(".")))]
+    assert [r[1] for r in got if r[0] == 7] == ["BSD-3-Clause"]
+
+
+def test_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "Licensed under CC BY 4.0"), (3, "Licensed under CC BY 4.0"), (3, "Licensed under CC BY 4.0"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["license"]) for r in licenses.scan(docs).collect()) == [(-1, "CC-BY-4.0"), (3, "CC-BY-4.0"), (3, "CC-BY-4.0")]
