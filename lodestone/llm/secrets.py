@@ -70,15 +70,16 @@ def spans(candidates: DataFrame) -> DataFrame:
     return hit.withColumn("covered", covered).where((F.col("kind") != "token") | (F.col("live") & ~F.col("covered"))).drop("covered")
 
 
-def ownership(found: DataFrame, *, widely: int = 3) -> DataFrame:
+def ownership(found: DataFrame, *, widely: int = 3, copied: int = 5) -> DataFrame:
     """A row for each value hash: spans, repositories and owners that hold it, and the verdict.
 
-    verdict: "example" from `widely` owners on, "owned" with one owner, else "shared". Counted by hash, owner and
+    verdict: "example" from `widely` owners on, or from `copied` repositories of several owners on; "owned" with one
+    owner; else "shared". Counted by hash, owner and
     repository first, so a value in a third of all rows meets as one row for each repository.
     """
     by_repository = found.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
     counts = by_repository.groupBy("value_hash").agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
-    verdict = F.when(F.col("n_owners") >= widely, "example").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    verdict = F.when((F.col("n_owners") >= widely) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= copied)), "example").when(F.col("n_owners") == 1, "owned").otherwise("shared")
     return counts.withColumn("verdict", verdict)
 
 
@@ -100,10 +101,12 @@ def report(docs: DataFrame) -> DataFrame:
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k, *_ in KINDS],
         F.count_if((F.col("verdict") == "owned") & F.col("live")).alias("n_owned_live"),
         F.count_if(F.col("verdict") == "example").alias("n_example"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repositories").alias("most_repositories"),
         F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("listed"),
     )
-    each = each.select("uid", *[f"n_{k}" for k, *_ in KINDS], "n_owned_live", "n_example", F.array_join(base, ",").alias("base"), F.array_join(named, ",").alias("spans"))
-    numbers = [*[f"n_{k}" for k, *_ in KINDS], "n_owned_live", "n_example"]
+    each = each.select("uid", *[f"n_{k}" for k, *_ in KINDS], "n_owned_live", "n_example", "most_owners", "most_repositories", F.array_join(base, ",").alias("base"), F.array_join(named, ",").alias("spans"))
+    numbers = [*[f"n_{k}" for k, *_ in KINDS], "n_owned_live", "n_example", "most_owners", "most_repositories"]
     return rows.join(each, "uid", "left").select(
         "doc_id",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numbers],
@@ -136,16 +139,17 @@ kept AS (
 cover AS (
   SELECT *, coalesce(max(CASE WHEN kind <> 'token' THEN e END) OVER (PARTITION BY uid ORDER BY s, k ROWS UNBOUNDED PRECEDING), -1) >= e AS covered FROM kept),
 found AS (SELECT c.*, r.owner, r.repository FROM cover c JOIN rows r USING (uid) WHERE kind <> 'token' OR (live AND NOT covered)),
-own AS (SELECT v, count(DISTINCT owner) AS n_owners FROM found GROUP BY v),
+own AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT repository) AS n_repositories FROM found GROUP BY v),
 judged AS (
-  SELECT f.*, CASE WHEN n_owners >= 3 THEN 'example' WHEN n_owners = 1 THEN 'owned' ELSE 'shared' END AS verdict FROM found f JOIN own USING (v)),
+  SELECT f.*, n_owners, n_repositories, CASE WHEN n_owners >= 3 OR (n_owners > 1 AND n_repositories >= 5) THEN 'example' WHEN n_owners = 1 THEN 'owned' ELSE 'shared' END AS verdict FROM found f JOIN own USING (v)),
 docs AS (
   SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
          count(*) FILTER (kind = 'token') AS n_token, count(*) FILTER (verdict = 'owned' AND live) AS n_owned_live, count(*) FILTER (verdict = 'example') AS n_example,
+         max(n_owners) AS most_owners, max(n_repositories) AS most_repositories,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
   FROM judged WHERE kind <> 'token' OR verdict = 'owned' GROUP BY uid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_token, 0) AS n_token,
-       coalesce(n_owned_live, 0) AS n_owned_live, coalesce(n_example, 0) AS n_example, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_owned_live, 0) AS n_owned_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM rows LEFT JOIN docs USING (uid)
 """.replace(
     "<LEAD>",  # what stands before an assigned value; letters in either case, ASCII only
