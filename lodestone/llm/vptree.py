@@ -3,8 +3,8 @@
 Unit vectors make the cosine order that of Euclidean distance, which obeys the triangle inequality. A tree node parts its
 vectors by their distance to a vantage point; a side is passed over if the least distance that the inequality allows for
 it, times `factor`, exceeds the distance of the worst neighbour so far. Factor 1 is exact; higher factors pass over more.
-Equal vectors are held once, with all their ids, so a group of copies costs one comparison. A first descent finds how
-near the k-th neighbour is, a second one every vector that is as near but for a proven rounding error; scores of all of
+Equal vectors are held once, with all their ids, so a group of copies costs one comparison. First descents find how
+near the k-th neighbour is, the last one every vector that is as near but for a proven rounding error; scores of all of
 those are computed from the original vectors, in double precision, dimension by dimension, and decide with the ids. So
 ties and near ties cost time, but are told apart as brute force does.
 
@@ -93,43 +93,42 @@ def search_tree(unit: np.ndarray, nodes: np.ndarray, points: np.ndarray, queries
     """Pairs of places in `queries` and `unit` (in tree order): all but for `factor` that may be among a query's k nearest."""
     error = rounding(unit.shape[1])
     slack = 4 * np.sqrt(2 * error)  # of the distances in one comparison: near zero a root makes the error large
-    nearest = np.full((len(queries), k), np.inf)  # squares
+    far = np.full(len(queries), np.inf)  # a square that the k-th nearest doesn't exceed
 
-    def descend(leaf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Visits the nearer side first; nearest is asked again when a side's turn comes."""
-        stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+    def leaves(ask) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(queries, first row, squares) of each leaf, once for all queries that `ask` sends there."""
+        stack = [(0, np.arange(len(queries)))]
         while stack:
-            node, q, least = stack.pop()
-            q = q[(least - slack) * factor <= np.sqrt(nearest[q, -1])]
+            node, q = stack.pop()
+            a, b, vantage = int(nodes[node, 0]), int(nodes[node, 1]), int(nodes[node, 2])
             if not len(q):
                 continue
-            a, b, vantage = int(nodes[node, 0]), int(nodes[node, 1]), int(nodes[node, 2])
             if vantage < 0:
                 for at in range(a, b, 256):
-                    square = np.maximum(2 - 2 * queries[q] @ unit[at : min(at + 256, b)].T, 0)
-                    yield from leaf(q, at, square)
+                    yield q, at, np.maximum(2 - 2 * queries[q] @ unit[at : min(at + 256, b)].T, 0)
                 continue
             d = np.sqrt(np.maximum(2 - 2 * queries[q] @ points[vantage], 0))
-            near, inside, outside = d <= nodes[node, 3], int(nodes[node, 6]), int(nodes[node, 7])
-            stack.append((outside, q[near], nodes[node, 5] - d[near]))
-            stack.append((inside, q[~near], d[~near] - nodes[node, 4]))
-            stack.append((outside, q[~near], np.zeros(int((~near).sum()))))
-            stack.append((inside, q[near], np.zeros(int(near.sum()))))
-
-    def measure(q: np.ndarray, at: int, square: np.ndarray) -> Iterator:
-        both = np.concatenate([nearest[q], square], axis=1)
-        nearest[q] = np.partition(both, range(k), axis=1)[:, :k]
-        return iter(())
-
-    def collect(q: np.ndarray, at: int, square: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        i, j = np.nonzero(square <= nearest[q, -1:])
+            to_inside, to_outside = ask(q, d, *nodes[node, 3:6])
+            stack += [(int(nodes[node, 7]), q[to_outside]), (int(nodes[node, 6]), q[to_inside])]
+
+    def own_side(q, d, split, greatest, least):
+        return d <= split, d > split
+
+    def within_reach(q, d, split, greatest, least):
+        reach = np.sqrt(far[q])
+        return (d - greatest - slack) * factor <= reach, (least - d - slack) * factor <= reach
+
+    # One leaf gives a first reach; all leaves within reach then the true one, all within that what is asked for.
+    for ask in (own_side, within_reach):
+        nearest = np.full((len(queries), k), np.inf)
+        for q, _, square in leaves(ask):
+            nearest[q] = np.sort(np.partition(np.concatenate([nearest[q], square], axis=1), k - 1, axis=1)[:, :k], axis=1)
+            far[q] = np.minimum(far[q], nearest[q, -1])
+    far += 4 * error  # cosines of twice the error less
+    for q, at, square in leaves(within_reach):
+        i, j = np.nonzero(square <= far[q, None])
         yield q[i], at + j
 
-    for _ in descend(measure):
-        pass
-    nearest += 4 * error  # cosines of twice the error less
-    yield from descend(collect)
-
 
 def _scaled(v: np.ndarray) -> np.ndarray:
     """Rows times powers of two, which changes no cosine but keeps the squares of large or small numbers finite."""
@@ -211,6 +210,7 @@ def search(index: DataFrame, queries: DataFrame, *, k: int, factor: float = FACT
         q, q_ids, q_uids = _matrix(block["v"], dim), block["vec_id"].to_numpy(), block["uid"].to_numpy()
         best = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        n_held = 0
 
         def settle() -> None:
             nonlocal best
@@ -228,8 +228,10 @@ def search(index: DataFrame, queries: DataFrame, *, k: int, factor: float = FACT
 
         for pairs in search_tree(_unit(v), nodes, points, _unit(q), k + 1, factor):
             held.append(pairs)
-            if sum(len(x) for x, _ in held) > PAIRS:
+            n_held += len(pairs[0])
+            if n_held > PAIRS:
                 settle()
+                n_held = 0
         if held:
             settle()
         at, score, vec = best
