@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions.paths import DEPENDENCY_EXTENSIONS, SEMANTIC_EXTENSIONS, extension, under_roots
-from .functions.text import query_terms
+from .functions.text import query_terms, redact
 from .operators import blocks, exact, fusion, graph, grams, recency, semantic, signals, symbols
 from .plans import planner
 from .sources import corpus
@@ -29,6 +30,13 @@ class Engine:
     symbol_edges: DataFrame | None = None
     state: DataFrame | None = None
 
+    # What the derived tables are made of, so that a change of a file reads that file only.
+    found_imports: DataFrame | None = None
+    csharp_names: DataFrame | None = None
+    raw_relations: DataFrame | None = None
+    aliases: dict[str, list[str]] | None = None
+    embed: Callable[[DataFrame], DataFrame] | None = None
+
     @classmethod
     def index(cls, spark: SparkSession, root: str, **options) -> Engine:
         """Reads a folder and builds every table but the vectors, each stored once."""
@@ -37,37 +45,70 @@ class Engine:
 
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame, aliases: dict[str, list[str]] | None = None) -> Engine:
-        engine = cls(spark, files)
+        engine = cls(spark, files, aliases=aliases)
         engine.postings = stored(grams.postings(files), "postings")
-        code = files.where(F.octet_length("text") > 0)
-        engine.edges = stored(graph.edges(code.where(extension("path").isin(DEPENDENCY_EXTENSIONS)), aliases), "edges")
+        code = _dependencies(files)
+        engine.found_imports, engine.csharp_names = stored(graph.imports(code), "imports"), stored(graph.csharp_names(code), "names")
+        engine.edges = stored(graph.edges_of(engine.found_imports, engine.csharp_names, code, aliases), "edges")
         found, raw = symbols.extract(files)
-        engine.symbol_table = stored(found, "symbols")
-        engine.symbol_edges = stored(symbols.resolve(engine.symbol_table, stored(raw, "raw-relations")), "relations")
+        engine.symbol_table, engine.raw_relations = stored(found, "symbols"), stored(raw, "raw-relations")
+        engine.symbol_edges = stored(symbols.resolve(engine.symbol_table, engine.raw_relations), "relations")
         return engine
 
     def semantic_index(self, embed=semantic.hashed_vectors) -> Engine:
         """Chunks with vectors by a function from chunk rows to chunk rows with `embedding`."""
-        code = self.files.where(extension("path").isin(SEMANTIC_EXTENSIONS) & (F.octet_length("text") > 0))
-        self.chunks, self.embed = stored(embed(semantic.chunks(code)), "chunks"), embed
+        self.chunks, self.embed = stored(embed(semantic.chunks(_meaning(self.files))), "chunks"), embed
         return self
 
     def add_directory(self, root: str, **options) -> Engine:
-        """The corpus with another folder's files; paths are kept apart by that folder's name."""
+        """The corpus with another folder's files; paths and aliases are kept apart by that folder's name. A folder of that name is replaced."""
         more = corpus.read_folder(self.spark, root, **options).withColumn("text", exact.text_of(F.col("content"))).drop("content")
         prefix = root.rstrip("/").rsplit("/", 1)[-1]
         more = more.withColumn("path", F.concat(F.lit(prefix + "/"), "path"))
-        return self.build(self.spark, stored(corpus.numbered(self.files.drop("file_id").unionByName(more, allowMissingColumns=True)), "files"))
+        aliases = dict(self.aliases or {})
+        for name, roots in corpus.script_aliases(root).items():
+            aliases[name] = [*aliases.get(name, []), *[f"{prefix}/{r}".rstrip("/") for r in roots]]
+        old = self.files.where(F.startswith("path", F.lit(prefix + "/"))).select("path").join(more.select("path"), "path", "left_anti")
+        changed = more.select("path", "text").unionByName(old.withColumn("text", F.lit(None).cast("string")))
+        return self.update_files(changed, aliases=aliases or None)
 
     def update_file(self, path: str, text: str | None) -> Engine:
-        """The corpus after one file's change (null text: deletion); tables are built as for a new corpus."""
-        rest = self.files.where(F.col("path") != path).drop("file_id")
-        if text is not None:
-            rest = rest.unionByName(self.spark.createDataFrame([(path, text)], "path string, text string"), allowMissingColumns=True)
-        return self.build(self.spark, stored(corpus.numbered(rest), "files"))
+        """The corpus after one file's change (null text: deletion)."""
+        return self.update_files(self.spark.createDataFrame([(path, text)], "path string, text string"))
+
+    def update_files(self, changed: DataFrame, *, aliases: dict[str, list[str]] | None = None) -> Engine:
+        """The corpus after the files in changed(path, text) were written or (null text) deleted.
+
+        Only those are read again: their rows in each table are replaced, then edges and relations are resolved from the
+        tables. A file keeps its id; new ones come after all others, by path, until the next build.
+        """
+        changed = stored(changed, "changed")
+        gone, now = changed.select("path"), changed.where("text is not null")
+        ids = self.files.select("path", "file_id").join(gone, "path", "left_semi")
+        last = self.files.agg(F.coalesce(F.max("file_id"), F.lit(-1)).alias("n")).first()["n"]
+        fresh = corpus.numbered(now.join(ids, "path", "left_anti")).withColumn("file_id", (F.col("file_id") + last + 1).cast("long"))
+        now = stored(now.join(ids, "path").select("file_id", "path", "text").unionByName(fresh.select("file_id", "path", "text")), "changed-files")
+        code = _dependencies(now)
+
+        def replaced(table: DataFrame, new: DataFrame, by: str, name: str) -> DataFrame:
+            return stored(table.join(gone.select(F.col("path").alias(by)), by, "left_anti").select(*table.columns).unionByName(new, allowMissingColumns=True), name)
+
+        files = replaced(self.files, now, "path", "files")
+        engine = replace(self, files=files, aliases=self.aliases if aliases is None else aliases)
+        engine.postings = stored(self.postings.join(ids.select("file_id"), "file_id", "left_anti").unionByName(grams.postings(now)), "postings")
+        engine.found_imports = replaced(self.found_imports, graph.imports(code), "src", "imports")
+        engine.csharp_names = replaced(self.csharp_names, graph.csharp_names(code), "path", "names")
+        engine.edges = stored(graph.edges_of(engine.found_imports, engine.csharp_names, _dependencies(files), engine.aliases), "edges")
+        found, raw = symbols.updated(self.symbol_table, self.raw_relations, changed)
+        engine.symbol_table, engine.raw_relations = stored(found, "symbols"), stored(raw, "raw-relations")
+        engine.symbol_edges = stored(symbols.resolve(engine.symbol_table, engine.raw_relations), "relations")
+        if self.chunks is not None:
+            engine.chunks = replaced(self.chunks, self.embed(semantic.chunks(_meaning(now))), "path", "chunks")
+        return engine
 
     def clear_index(self) -> None:
         self.postings = self.chunks = self.edges = self.symbol_table = self.symbol_edges = None
+        self.found_imports = self.csharp_names = self.raw_relations = None
 
     # -- search ---------------------------------------------------------------------------------------------------
 
@@ -93,7 +134,7 @@ class Engine:
     def _hits(self, query: str, mode: str, k: int, context: str) -> DataFrame:
         columns = ["file", "line_start", "line_end", "score", "snippet", "engine"]
         if mode == "symbol":
-            rows = symbols.find(self.symbol_table, query, k=k).select(F.col("file_path").alias("file"), "line_start", "line_end", F.lit(1.0).alias("score"), F.substring("signature", 1, 300).alias("snippet"), F.lit("symbol").alias("engine"), F.struct("match", F.lower("qualified_name"), "file_path", "line_start").alias("key"))
+            rows = symbols.find(self.symbol_table, query, k=k).select(F.col("file_path").alias("file"), "line_start", "line_end", F.lit(1.0).alias("score"), F.substring(redact("signature"), 1, 300).alias("snippet"), F.lit("symbol").alias("engine"), F.struct("match", F.lower("qualified_name"), "file_path", "line_start").alias("key"))
             return fusion_ord(rows, columns, ["key"])
         pattern = self._boosted(self.search(query))
         hits = fusion.pattern_hits(pattern, context=context)
@@ -183,6 +224,14 @@ class Engine:
         return plan, planner.summary(plan, dependency_ready=self.edges is not None, symbol_ready=self.symbol_table is not None, semantic_ready=self.chunks is not None)
 
 
+def _dependencies(files: DataFrame) -> DataFrame:
+    return files.where((F.octet_length("text") > 0) & extension("path").isin(DEPENDENCY_EXTENSIONS))
+
+
+def _meaning(files: DataFrame) -> DataFrame:
+    return files.where(extension("path").isin(SEMANTIC_EXTENSIONS) & (F.octet_length("text") > 0))
+
+
 def fusion_ord(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     """A page of hits with its order as `ord`. The window's one task holds that page only."""
     return rows.select(*columns, F.row_number().over(Window.orderBy(*order)).cast("long").alias("ord"))

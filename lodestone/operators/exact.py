@@ -6,6 +6,8 @@ within the row: no explode, no window, no shuffle. Across files only a count and
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def matching_lines(text: Column, needle: str, *, case_sensitive: bool = False) -
 
 
 def _contains(text: Column, needle: str, case_sensitive: bool) -> Column:
-    return F.contains(text if case_sensitive else fold(text), F.lit(needle if case_sensitive else folded(needle)))
+    if case_sensitive:
+        return F.contains(text, F.lit(needle))
+    return F.rlike(text, F.lit("(?i)" + re.escape(needle)))  # regards A to Z only, and copies no text
 
 
 def matches(files: DataFrame, needle: str, *, case_sensitive: bool = False, per_file: int = PER_FILE, text_col: str = "text") -> DataFrame:
@@ -61,8 +65,9 @@ def total_files(files: DataFrame, needle: str, *, case_sensitive: bool = False,
 
 
 def search(files: DataFrame, needle: str, *, case_sensitive: bool = False, max_files: int = FILES, per_file: int = PER_FILE, text_col: str = "text") -> DataFrame:
-    """file_id, path, matches, total_files of the first files in file order."""
-    found = matches(files, needle, case_sensitive=case_sensitive, per_file=per_file, text_col=text_col).orderBy("file_id").limit(max_files)
+    """file_id, path, matches, total_files of the first files in file order. Only those files are taken apart into lines."""
+    hits = files.where(F.lit(needle != "") & _contains(F.coalesce(F.col(text_col), F.lit("")), needle, case_sensitive)).orderBy("file_id").limit(max_files)
+    found = matches(hits, needle, case_sensitive=case_sensitive, per_file=per_file, text_col=text_col)
     return found.join(F.broadcast(total_files(files, needle, case_sensitive=case_sensitive, text_col=text_col)))  # one row
 
 

@@ -123,9 +123,14 @@ def csharp_edges(names: DataFrame) -> DataFrame:
 
 def edges(files: DataFrame, aliases: dict[str, list[str]] | None = None, *, text_col: str = "text") -> DataFrame:
     """src, dst, reason of all files: one edge a pair, without loops."""
-    plain = resolve(imports(files, text_col=text_col), files, aliases).where("src <> dst")
+    return edges_of(imports(files, text_col=text_col), csharp_names(files, text_col=text_col), files, aliases)
+
+
+def edges_of(found: DataFrame, names: DataFrame, files: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """The same from imports(), csharp_names() and the files' paths: after a change only the changed files' texts are read."""
+    plain = resolve(found, files, aliases).where("src <> dst")
     plain = plain.groupBy("src", "dst").agg(F.min_by("reason", "nth").alias("reason")).withColumn("p", F.lit(0))
-    sharp = csharp_edges(csharp_names(files, text_col=text_col)).withColumn("p", F.lit(1))
+    sharp = csharp_edges(names).withColumn("p", F.lit(1))
     return plain.unionByName(sharp).groupBy("src", "dst").agg(F.max_by("reason", "p").alias("reason"))
 
 

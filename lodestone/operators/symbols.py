@@ -307,4 +307,4 @@ def updated(symbols: DataFrame, raw: DataFrame, changed: DataFrame, *, text_col:
     """Symbols and raw relations after the files in changed(path, text) were read again; a null text is a deleted file."""
     paths = changed.select(F.col("path").alias("file_path"))
     new_symbols, new_raw = extract(changed.where(F.col(text_col).isNotNull()), text_col=text_col)
-    return symbols.join(paths, "file_path", "left_anti").unionByName(new_symbols), raw.join(paths, "file_path", "left_anti").unionByName(new_raw)
+    return new_symbols.unionByName(symbols.join(paths, "file_path", "left_anti")), new_raw.unionByName(raw.join(paths, "file_path", "left_anti"))

@@ -6,25 +6,50 @@ agents' trajectories, benchmark for a set of queries, orders - customer - nation
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import paths, stats, text
 from .operators import exact, fusion, grams, graph, recency, semantic, signals, symbols
 from .plans import planner, quality, trajectory
 from .sources import corpus, records, store
 from .streaming import changes
+from .tables import shared_dir, stored
 
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder, and what was made of them once for this application and folder."""
+
+    made: dict[tuple, str] = {}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def postings(self) -> DataFrame:
+        """The stored trigram index of the documents, sorted by gram: a search reads the row groups of its gram."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in self.made:
+            path = f"{shared_dir(self.spark)}/lodestone-trigrams-{uuid.uuid4().hex}"
+            grams.write(stored(grams.postings(_files(self)), "trigrams"), path)  # ranges are drawn from stored rows
+            self.made[key] = path
+        return self.spark.read.parquet(self.made[key])
+
+
 def query(sql: str | None = None):
     """Registers a function (spark, table) -> DataFrame, where table(name) reads a table, under its name; sql gives the same rows."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -138,9 +163,9 @@ SIGNALS = [
 ]
 
 
-def _signals_sql(top: int = 10) -> str:
-    needles = ", ".join(f"({i}, '{s[0]}', '{s[1]}', {q}, '{text.folded(n)}')" for i, s in enumerate(SIGNALS) for q, n in enumerate(s[4]))
-    return f"""WITH n(ord, id, category, q, needle) AS (VALUES {needles}), l AS ({LINES}),
+def _signals_sql(top: int = 10, entries=SIGNALS, lines: str = LINES) -> str:
+    needles = ", ".join(f"({i}, '{s[0]}', '{s[1]}', {q}, '{text.folded(n)}')" for i, s in enumerate(entries) for q, n in enumerate(s[4]))
+    return f"""WITH n(ord, id, category, q, needle) AS (VALUES {needles}), l AS ({lines}),
     hits AS (SELECT ord, id, category, q, file_id, path, line, content, row_number() OVER (PARTITION BY ord, q, file_id ORDER BY line) AS per_file,
              dense_rank() OVER (PARTITION BY ord, q ORDER BY file_id) AS nth_file FROM n JOIN l ON contains({FOLD.format('content')}, needle)),
     once AS (SELECT *, row_number() OVER (PARTITION BY ord, file_id, line ORDER BY q) AS again FROM hits WHERE per_file <= 10 AND nth_file <= 50),
@@ -170,13 +195,17 @@ def trigram_postings(spark, table):
 
 @query(f"SELECT doc_id AS file_id FROM documents WHERE contains({FOLD.format('text')}, 'lic')")
 def candidate_chunks(spark, table):
-    return grams.candidates(grams.postings(_files(table)), "Licensed under")
+    return grams.candidates(table.postings(), "Licensed under")
 
 
 @query(_search_sql(f"contains({FOLD.format('content')}, 'licensed under')"))
 def pruned_search(spark, table):
-    files = _files(table)
-    return _long(grams.pruned_search(files, grams.postings(files), "Licensed under"), "total_files")
+    return _long(grams.pruned_search(_files(table), table.postings(), "Licensed under"), "total_files")
+
+
+@query(f"SELECT CASE WHEN count(*) > 0 THEN 0 END AS problems FROM ({_GRAMS})")
+def trigram_index(spark, table):
+    return grams.invalid(table.postings())
 
 
 @query("SELECT count(*) AS files, sum(octet_length(encode(text))) AS source_bytes, sum(octet_length(encode(text))) + greatest(count(*) - 1, 0) AS corpus_bytes, max(octet_length(encode(text))) AS largest FROM documents")
@@ -331,40 +360,181 @@ def related_files(spark, table):
     return fusion.related(hits, hits, _graph(table)).select("relation", "file", "hops")
 
 
-SOURCES = [
-    ("pkg/__init__.py", ""), ("pkg/settings.py", "X = 1\n"), ("pkg/core.py", "import pkg.settings\nfrom pkg.util import a\n"), ("pkg/util.py", "import os\n"),
-    ("web/app.ts", "import x from './lib'\nimport y from '@shared/z'\nconst q = require('./old.js')\n"), ("web/lib/index.ts", "export default 1\n"), ("web/old.ts", ""), ("shared/z.tsx", "import '../web/app'\n"),
-    ("cs/IStore.cs", "namespace Shop.Data\n{\n public interface IStore { void Save(Item item); }\n}\n"),
-    ("cs/Store.cs", "using System;\nusing Shop.Data;\nnamespace Shop.Core\n{\n public class Store : IStore\n {\n  private readonly Item _item;\n  public Store(Item item) { _item = item; }\n  public void Save(Item item) { var x = new Item(); Check(x); }\n  private void Check(Item item) { }\n }\n public class Item { public int Id { get; set; } }\n}\n"),
-    ("cs/StoreTests.cs", "using Shop.Core;\nnamespace Shop.Tests\n{\n public class StoreTests\n {\n  [Fact]\n  public void Saves() { var s = new Store(null); s.Save(null); }\n }\n}\n"),
-    ("main.go", 'import "fmt"\n'), ("lib.rs", "use crate::a;\nmod util;\n"), ("tool.rb", "require 'json'\n"), ("App.java", "import static org.A.b;\nimport org.C.*;\n"),
+# Documents with a head of code by their number, so that imports and symbols are read from whole texts of a whole table.
+_EXTENSIONS = [".py", ".ts", ".go", ".rs", ".java", ".cs", ".rb", ".md"]
+_PY, _TS = "from {0} import a\nimport os, sys.path\nx = 1\n", "import x from './{1}'\nconst q = require('lib{2}')\n"
+_HEADS = [
+    _PY, _TS, 'import "fmt"\nimport "x/y{2}"\n', "use crate::m{2};\nmod util;\n", "import static org.A{2}.b;\nimport org.C.*;\n", "using System;\nusing N{2};\n", "require 'json'\nrequire_relative 'm{2}'\n", "import nothing\n",
 ]
 
 
-def _sources(spark) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "path string, text string")
+def _code(table) -> DataFrame:
+    """file_id, path, text: documents as source files that import one another."""
+    i = (F.col("doc_id") % 8 + 1).cast("int")
+    other = (F.col("doc_id") + 40).cast("string")
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), i)
+    for place, value in enumerate((F.concat_ws(".", "source", "lang", other), other, (F.col("doc_id") % 9).cast("string"))):
+        head = F.replace(head, F.lit(f"{{{place}}}"), value)
+    path = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.element_at(F.array(*map(F.lit, _EXTENSIONS)), i))
+    return table("documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query()
+_HEAD_SQL = f"[{', '.join('$h$' + h + '$h$' for h in _HEADS)}][CAST(doc_id % 8 AS INT) + 1]"
+_CODE_SQL = f"""SELECT doc_id AS file_id, {PATH} || {_EXTENSIONS}[CAST(doc_id % 8 AS INT) + 1] AS path,
+      replace(replace(replace({_HEAD_SQL}, '{{0}}', concat_ws('.', source, lang, CAST(doc_id + 40 AS VARCHAR))), '{{1}}', CAST(doc_id + 40 AS VARCHAR)), '{{2}}', CAST(doc_id % 9 AS VARCHAR)) || coalesce(text, '') AS text FROM documents"""
+
+
+def _imports_sql() -> str:
+    lists = " ".join(f"WHEN path LIKE '%{e}' THEN list_concat({', '.join(f'regexp_extract_all(text, $p${x.replace('(?mU)', '(?m)')}$p$, 1)' for x in patterns)}, [])" for e, patterns in graph.IMPORTS.items())
+    return f"""WITH code AS ({_CODE_SQL}), found AS (SELECT path, CASE {lists} END AS r FROM code WHERE NOT path LIKE '%.md'),
+    parts AS (SELECT path, flatten(list_transform(r, lambda x: list_transform(string_split(x, ','), lambda y: regexp_replace(y, '^\\s+|\\s+$', '', 'g')))) AS p FROM found),
+    each AS (SELECT path AS src, unnest(p) AS raw, unnest(range(0, len(p))) AS nth FROM parts)
+    SELECT src, CAST(nth AS INTEGER) AS nth, raw, CASE WHEN regexp_matches(src, '\\.(py|js|ts|tsx|jsx)$') THEN 'imports module ' || raw WHEN src LIKE '%.cs' THEN 'imports namespace ' || raw ELSE 'heuristic dependency edge' END AS reason FROM each"""
+
+
+@query(_imports_sql())
 def import_extract(spark, table):
-    return graph.imports(_sources(spark))
+    return graph.imports(_code(table))
 
 
-@query()
+@query(f"""WITH i AS ({_imports_sql()}), code AS ({_CODE_SQL}),
+    aimed AS (SELECT src, nth, reason, regexp_replace(src, '[^/]*$', '') || substr(raw, 3) || '.ts' AS dst FROM i WHERE src LIKE '%.ts' AND starts_with(raw, './')),
+    dotted AS (SELECT src, nth, reason, '/' || replace(raw, '.', '/') || regexp_extract(src, '\\.[a-z]+$') AS ending FROM i WHERE regexp_matches(src, '\\.(py|java|cs|rs)$')),
+    hit AS (SELECT a.src, a.nth, a.reason, a.dst FROM aimed a JOIN code c ON c.path = a.dst
+      UNION ALL SELECT d.src, d.nth, d.reason, min(c.path) FROM dotted d JOIN code c ON ends_with('/' || c.path, d.ending) GROUP BY ALL)
+    SELECT src, dst, arg_min(reason, nth) AS reason FROM hit WHERE src <> dst GROUP BY src, dst""")
 def import_edges(spark, table):
-    return graph.edges(_sources(spark), {"@shared": ["shared"]})
+    return graph.edges(_code(table).where(~F.endswith("path", F.lit(".md"))), {"@shared": ["shared"]})
 
 
-@query()
+_SHARP = "namespace N{0}\n{\n public class T{1} : T{2}\n {\n  public void M{1}() { M{3}(); }\n }\n}\n// "
+
+
+def _sharp(table) -> DataFrame:
+    """Documents as C# files of a type and a method each; their texts are comments."""
+    d, code = F.col("doc_id"), F.lit(_SHARP)
+    for place, value in enumerate((d % 10, d, d + 1, d + 2)):
+        code = F.replace(code, F.lit(f"{{{place}}}"), value.cast("string"))
+    text_ = F.concat(code, F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n// ")))
+    return table("documents").select(F.col("doc_id").alias("file_id"), F.concat(F.concat_ws("/", "source", "lang", d.cast("string")), F.lit(".cs")).alias("path"), text_.alias("text"))
+
+
+# What those files declare, from their numbers alone.
+_DECLARED = f"""WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS n, 'N' || (doc_id % 10) AS space, {PATH} || '.cs' AS file_path, CAST(8 + len(coalesce(text, '')) - len(replace(coalesce(text, ''), chr(10), '')) AS INTEGER) AS lines FROM documents)
+    SELECT file_path, 'namespace' AS kind, space AS name, space AS qualified_name, 1 AS line_start, 1 AS line_end, '' AS signature, 'public' AS visibility, doc_id FROM d
+    UNION ALL SELECT file_path, 'module', n, space || '.' || n || '#module', 1, lines, '', 'internal', doc_id FROM d
+    UNION ALL SELECT file_path, 'class', 'T' || n, space || '.T' || n, 3, 6, 'public class T' || n || ' : T' || (doc_id + 1), 'public', doc_id FROM d
+    UNION ALL SELECT file_path, 'method', 'M' || n, space || '.T' || n || '.M' || n, 5, 5, 'public void M' || n || '() {{', 'public', doc_id FROM d"""
+_DECLARED_RELATIONS = f"""WITH s AS ({_DECLARED})
+    SELECT 'inherits' AS kind, a.qualified_name AS source, b.qualified_name AS target, 'T' || (a.doc_id + 1) AS target_name, a.file_path, 3 AS line, 0.78::DOUBLE AS confidence, a.doc_id FROM s a LEFT JOIN s b ON b.kind = 'class' AND b.doc_id = a.doc_id + 1 WHERE a.kind = 'class'
+    UNION ALL SELECT 'calls', a.qualified_name, b.qualified_name, 'M' || (a.doc_id + 2), a.file_path, 5, 0.58, a.doc_id FROM s a LEFT JOIN s b ON b.kind = 'method' AND b.doc_id = a.doc_id + 2 WHERE a.kind = 'method'"""
+
+
+def _symbols(table) -> tuple[DataFrame, DataFrame]:
+    found, raw = (stored(x, "query-symbols") for x in symbols.extract(_sharp(table)))
+    return found, symbols.resolve(found, raw)
+
+
+@query(f"SELECT * EXCLUDE (doc_id) FROM ({_DECLARED})")
 def csharp_symbols(spark, table):
-    found, _ = symbols.extract(_sources(spark))
-    return found.drop("ord")
+    found, _ = symbols.extract(_sharp(table))
+    return found.select("file_path", "kind", "name", "qualified_name", "line_start", "line_end", "signature", "visibility")
 
 
-@query()
+@query(f"SELECT * EXCLUDE (doc_id) FROM ({_DECLARED_RELATIONS})")
 def csharp_relations(spark, table):
-    found, raw = symbols.extract(_sources(spark))
-    return symbols.resolve(found, raw).drop("ord")
+    found, relations = _symbols(table)
+    names = found.select(F.col("id").alias("_id"), F.col("qualified_name").alias("_q"))
+    rows = relations.join(names.select(F.col("_id").alias("source_symbol_id"), F.col("_q").alias("source")), "source_symbol_id")
+    rows = rows.join(names.select(F.col("_id").alias("target_symbol_id"), F.col("_q").alias("target")), "target_symbol_id", "left")
+    return rows.select("kind", "source", "target", "target_name", "file_path", "line", "confidence")
+
+
+def _found_sql(needle: str, limit: int = 100) -> str:
+    return f"""SELECT * FROM (SELECT *, CASE WHEN lower(name) = '{needle}' OR lower(qualified_name) = '{needle}' THEN 0 WHEN starts_with(lower(name), '{needle}') OR ends_with(lower(qualified_name), '.{needle}') THEN 1
+      WHEN contains(lower(name), '{needle}') OR contains(lower(qualified_name), '{needle}') THEN 2 END AS match FROM ({_DECLARED})) WHERE match IS NOT NULL ORDER BY match, lower(qualified_name), file_path, line_start LIMIT {limit}"""
+
+
+def _pointing_sql(needle: str, kinds: str, limit: int) -> str:
+    return f"""WITH f AS ({_found_sql(needle)}), r AS ({_DECLARED_RELATIONS})
+    SELECT kind, source, target, target_name, file_path, line FROM r WHERE kind IN ({kinds}) AND (target IN (SELECT qualified_name FROM f) OR lower(target_name) IN (SELECT lower(name) FROM f) OR lower(target_name) = '{needle}')
+    ORDER BY confidence DESC, file_path, line LIMIT {limit}"""
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", "source", "target", "target_name", "file_path", "line")
+
+
+@query(_found_sql("m1", 50).replace("SELECT * FROM", "SELECT name, qualified_name, kind, file_path, match FROM", 1))
+def symbol_find(spark, table):
+    return symbols.find(_symbols(table)[0], "M1", k=50).select("name", "qualified_name", "kind", "file_path", "match")
+
+
+@query(_pointing_sql("t2", "'calls', 'inherits'", 200))
+def symbol_references(spark, table):
+    return _shown(symbols.references(*_symbols(table), "T2", k=200))
+
+
+@query(_pointing_sql("m4", "'calls'", 50))
+def symbol_callers(spark, table):
+    return _shown(symbols.callers(*_symbols(table), "M4"))
+
+
+@query(f"""WITH f AS ({_found_sql('m6')}), r AS ({_DECLARED_RELATIONS}) SELECT kind, source, target, target_name, file_path, line FROM r WHERE kind = 'calls' AND source IN (SELECT qualified_name FROM f WHERE kind = 'method')
+    ORDER BY confidence DESC, lower(target_name), line LIMIT 50""")
+def symbol_callees(spark, table):
+    return _shown(symbols.callees(*_symbols(table), "M6"))
+
+
+@query(f"""WITH f AS ({_found_sql('t5')}), r AS ({_DECLARED_RELATIONS}) SELECT source, file_path, line FROM r WHERE kind = 'inherits' AND (target IN (SELECT qualified_name FROM f WHERE kind = 'class') OR lower(target_name) IN (SELECT lower(name) FROM f) OR lower(target_name) = 't5')
+    ORDER BY source, file_path LIMIT 100""")
+def symbol_implementations(spark, table):
+    return symbols.implementations(*_symbols(table), "T5", k=100).select("source", "file_path", "line")
+
+
+@query(f"""SELECT name, qualified_name, kind, file_path, line_start FROM ({_DECLARED})""")
+def symbol_listing(spark, table):
+    return symbols.listing(_symbols(table)[0]).select("name", "qualified_name", "kind", "file_path", "line_start")
+
+
+_NEEDLES = [n for e in signals.CATALOGUE for n in e[4]]
+
+
+def _with_needles(table) -> DataFrame:
+    """Documents with a last line that holds one of the catalogue's needles."""
+    needle = F.element_at(F.array(*map(F.lit, _NEEDLES)), (F.col("file_id") % len(_NEEDLES) + 1).cast("int"))
+    return _files(table).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nuses "), needle))
+
+
+_NEEDLE_LINES = f"""SELECT file_id, path, unnest(string_split(t, chr(10))) AS content, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line
+    FROM (SELECT doc_id AS file_id, {PATH} AS path, coalesce(text, '') || chr(10) || 'uses ' || {_NEEDLES}[CAST(doc_id % {len(_NEEDLES)} AS INT) + 1] AS t FROM documents)"""
+
+
+@query(_signals_sql(20, signals.CATALOGUE, _NEEDLE_LINES))
+def signal_catalogue(spark, table):
+    return signals.scan(_with_needles(table), top_k=20)
+
+
+@query("""WITH s AS (SELECT c_custkey % 500 AS k, max(c_acctbal) > 9000 AS m, min(c_acctbal) < 0 AS r FROM customer GROUP BY 1),
+    h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS ord, CASE WHEN m THEN 0.30::DOUBLE WHEN r THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS git_boost FROM orders LEFT JOIN s ON o_custkey % 700 = k)
+    SELECT o_orderkey, git_boost, row_number() OVER (ORDER BY git_boost DESC, o_orderkey) AS place FROM h ORDER BY git_boost DESC, o_orderkey LIMIT 300""")
+def boosted_ranking(spark, table):
+    path = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    state = table("customer").groupBy(path(F.col("c_custkey") % 500).alias("path")).agg((F.max("c_acctbal") > 9000).alias("modified"), (F.min("c_acctbal") < 0).alias("recent"), F.lit(None).cast("timestamp").alias("mtime"))
+    hits = table("orders").select("o_orderkey", path(F.col("o_custkey") % 700).alias("path"), F.col("o_orderkey").alias("ord"))
+    page = recency.reranked(recency.boosted(hits, state, F.current_timestamp())).limit(300)
+    return page.select("o_orderkey", "git_boost", F.row_number().over(Window.orderBy(F.col("git_boost").desc(), "ord")).cast("long").alias("place"))
+
+
+_COMMANDS = ["dotnet build x.sln", "rg needle src/a.py", "Get-Content lib\\b.cs | findstr c", "sed -n 1,5p docs/c.md", "git grep -n d", "bat e.toml", "Set-Content f.json 1", "npm test", "ls"]
+_COMMAND_SQL = "regexp_matches(lower(c), $p${}$p$)"
+
+
+@query(f"""WITH x AS (SELECT event_id, {_COMMANDS}[CAST(event_id % {len(_COMMANDS)} AS INT) + 1] || ' # ' || event_type AS c FROM events)
+    SELECT event_id, coalesce(nullif(array_to_string(list_filter([{', '.join(f"CASE WHEN {_COMMAND_SQL.format(p)} THEN '{n}' END" for n, p in records.OPERATIONS)}], lambda v: v IS NOT NULL), ','), ''), 'other') AS operations FROM x""")
+def command_operations(spark, table):
+    command = F.concat(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.col("event_id") % len(_COMMANDS) + 1).cast("int")), F.lit(" # "), F.col("event_type"))
+    return table("events").select("event_id", F.array_join(records.operations(command), ",").alias("operations"))
 
 
 # Parts stand for symbols and orders for references to them by name, so that resolution runs over whole tables.
@@ -510,14 +680,24 @@ def run_statistics(spark, table):
     return trajectory.statistics(trajectory.long(runs, ["total_tokens", "duration_ms"]), ["mode", "metric"])
 
 
-@query("SELECT false AS paired_configuration")
+def _paired_runs(table, whole: bool) -> DataFrame:
+    """Every customer as a task that ran in both modes; if not whole, those with a negative balance in one only."""
+    c = table("customer").select(F.col("c_custkey").alias("task_id"), "c_acctbal", F.explode(F.array(F.lit("baseline"), F.lit("assisted"))).alias("mode"))
+    runs = c.where(F.lit(whole) | (F.col("mode") == "baseline") | (F.col("c_acctbal") >= 0))
+    tokens = F.when(F.col("mode") == "baseline", F.lit(20_000.0)).otherwise(F.lit(15_000.0)) + F.col("c_acctbal")
+    return runs.select("task_id", "mode", F.lit(True).alias("eligible"), F.col("task_id").alias("run_id"), F.lit(True).alias("success"), tokens.alias("total_tokens"), (tokens * 2).alias("duration_ms"), F.when(F.col("task_id") > 1, tokens).alias("cost"))
+
+
+@query("SELECT 'whole' AS runs, count(*) > 0 AS paired_configuration FROM customer UNION ALL SELECT 'half', count(*) = 0 FROM customer WHERE c_acctbal < 0")
 def paired_multiset(spark, table):
-    return trajectory.paired(_runs(table), "baseline", "assisted", ["task_id"])
+    whole, half = (trajectory.paired(_paired_runs(table, x), "baseline", "assisted", ["task_id"]) for x in (True, False))
+    return whole.select(F.lit("whole").alias("runs"), "paired_configuration").unionByName(half.select(F.lit("half").alias("runs"), "paired_configuration"))
 
 
-@query("SELECT 'total_tokens' AS metric, NULL::DOUBLE AS reduction_pct UNION ALL SELECT 'duration_ms', NULL")
+@query("""WITH m AS (SELECT round(avg(20000 + c_acctbal), 3) AS b, round(avg(15000 + c_acctbal), 3) AS o, round(avg(40000 + 2 * c_acctbal), 3) AS b2, round(avg(30000 + 2 * c_acctbal), 3) AS o2 FROM customer)
+    SELECT 'total_tokens' AS metric, round(100 * (b - o) / b, 3) AS reduction_pct FROM m UNION ALL SELECT 'duration_ms', round(100 * (b2 - o2) / b2, 3) FROM m UNION ALL SELECT 'cost', NULL""")
 def paired_reductions(spark, table):
-    return trajectory.reductions(_runs(table), ["total_tokens", "duration_ms"], "baseline", "assisted", ["task_id"])
+    return trajectory.reductions(_paired_runs(table, True), ["total_tokens", "duration_ms", "cost"], "baseline", "assisted", ["task_id"])
 
 
 @query("""WITH s AS (SELECT l_suppkey, list(l_quantity * l_extendedprice ORDER BY l_quantity * l_extendedprice) AS v FROM lineitem GROUP BY l_suppkey)
@@ -599,10 +779,10 @@ def append_replace(spark, table):
     return store.append_replace(_files(table).select("path", "text"), new, "src1")
 
 
-@query("""WITH a AS (SELECT 'k' || (c_custkey % 300) AS file, 0 AS source, c_custkey AS ord FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'K' || (o_orderkey % 400), 1, o_orderkey FROM orders),
+@query("""WITH a AS (SELECT 'k' || (c_custkey % 300) AS file, 0 AS source, c_custkey AS ord FROM customer UNION ALL SELECT 'K' || (o_orderkey % 400), 1, o_orderkey FROM orders),
     f AS (SELECT *, row_number() OVER (PARTITION BY lower(file) ORDER BY source, ord) AS n FROM a) SELECT file, ord, source FROM f WHERE n = 1 ORDER BY source, ord LIMIT 200""")
 def symbols_before_text(spark, table):
-    first = table("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("k"), (F.col("c_custkey") % 300).cast("string")).alias("file"), F.col("c_custkey").alias("ord"))
+    first = table("customer").select(F.concat(F.lit("k"), (F.col("c_custkey") % 300).cast("string")).alias("file"), F.col("c_custkey").alias("ord"))
     rest = table("orders").select(F.concat(F.lit("K"), (F.col("o_orderkey") % 400).cast("string")).alias("file"), F.col("o_orderkey").alias("ord"))
     return fusion.symbols_first(first, rest, 200)
 

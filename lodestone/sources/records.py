@@ -89,15 +89,20 @@ def append_json(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("append").json(path)
 
 
-def _operation(command: Column) -> Column:
+#: What tells a command's operations, in lower case, and a path within a text.
+OPERATIONS = [
+    ("test", r"\b(dotnet\s+(?:test|build|run)|pytest|npm\s+test)\b"),
+    ("search", r"\b(rg|grep|findstr|select-string)\b|\bgit\s+grep\b"),
+    ("file_read", r"\b(get-content|cat|type|head|tail|bat)\b|\bsed\s+-n\b"),
+    ("edit", r"\b(apply_patch|set-content|add-content)\b"),
+]
+PATHS = r"""(?<![A-Za-z0-9_])([A-Za-z]:[\\/][^\s"']+|(?:[A-Za-z0-9_.-]+[\\/])+[A-Za-z0-9_.?*-]+|[A-Za-z0-9_.-]+\.(?:cs|csproj|sln|json|toml|ya?ml|md|py))"""
+
+
+def operations(command: Column) -> Column:
     """What a shell command does, one label or more: a test, a search, a file read, an edit, else other."""
-    rules = [
-        ("test", r"\b(pytest|unittest|dotnet\s+test|npm\s+(run\s+)?test|cargo\s+test|go\s+test)\b"),
-        ("search", r"(^|[\s;|&])(rg|grep|find|ag|fd)\b|git\s+grep"),
-        ("file_read", r"(^|[\s;|&])(cat|head|tail|sed\s+-n|less|more|type|Get-Content)\b"),
-        ("edit", r"\b(apply_patch|sed\s+-i|tee|mv|cp|rm)\b|>{1,2}\s*\S"),
-    ]
-    found = F.array_compact(F.array(*[F.when(F.rlike(command, F.lit(p)), F.lit(name)) for name, p in rules]))
+    low = F.lower(command)
+    found = F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(name)) for name, p in OPERATIONS]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))
 
 
@@ -112,9 +117,9 @@ def normalized_agent_events(lines: DataFrame) -> DataFrame:
     rows = rows.select("run_id", "sequence", "e.*")
     seen = F.max((F.col("type") == "item.started").cast("int")).over(Window.partitionBy("run_id", "item.id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_seen", F.when(F.col("item.id").isNotNull(), F.coalesce(seen, F.lit(0))))
-    ops = _operation(F.coalesce("item.command", F.lit("")))
+    ops = operations(F.coalesce("item.command", F.lit("")))
     category = F.when(F.col("item.type") == "file_change", "edit").when(F.col("item.type") == "command_execution", F.get(ops, F.lit(0))).otherwise(F.coalesce("item.type", F.lit("other")))
-    paths = F.coalesce(F.transform("item.changes", lambda c: c["path"]), F.regexp_extract_all(F.coalesce("item.command", F.lit("")), F.lit(r"[\w./-]+\.[A-Za-z0-9]+"), F.lit(0)))
+    paths = F.coalesce(F.transform("item.changes", lambda c: c["path"]), F.regexp_extract_all(F.coalesce("item.command", F.lit("")), F.lit(PATHS), F.lit(1)))
     tool = F.coalesce("item.tool", "item.type")
     none = F.lit(None)
 

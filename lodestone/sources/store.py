@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,32 +38,44 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.current")
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        """(number, path) of a table's pointers, the latest first."""
+        pattern, system = self._path(f"{name}.current-*")
+        found = [str(x.getPath()) for x in system.globStatus(pattern) or []]
+        return sorted(((int(x.rpartition("-")[2]), x) for x in found if x.rpartition("-")[2].isdigit()), reverse=True)
+
     def current(self, name: str) -> dict | None:
-        """What the pointer of a table says, None without a valid one."""
-        path, system = self._pointer(name)
-        if not system.exists(path):
-            return None
-        try:
-            return json.loads(self.spark.read.text(path.toString()).first()["value"])
-        except (TypeError, ValueError):
-            return None
+        """What the latest valid pointer of a table says, None without one."""
+        for _, path in self._pointers(name):
+            try:
+                found = json.loads(self.spark.read.text(path).first()["value"])
+            except (TypeError, ValueError):
+                continue
+            return found if found["path"] else None
+        return None
+
+    def _point(self, name: str, says: dict) -> None:
+        """A pointer of the next number: a draft is renamed, so that it is there whole or not at all, and no other is touched before."""
+        old = self._pointers(name)
+        draft, system = self._path(f"{name}.draft-{uuid.uuid4().hex}")
+        out = system.create(draft, False)
+        out.write(bytearray(json.dumps(says, sort_keys=True).encode()))
+        out.close()
+        if not system.rename(draft, self._path(f"{name}.current-{(old[0][0] if old else 0) + 1:09d}")[0]):
+            raise RuntimeError(f"{name}: another writer was first")
+        for _, path in old[1:]:  # the one before stays for its readers
+            system.delete(self._path(path.rpartition("/")[2])[0], False)
 
     def write(self, name: str, table: DataFrame, fingerprint_: str, *, version: int = 1, partition_by: list[str] | None = None) -> str:
         """Writes a version beside the others, then turns the pointer. A failed write leaves the old version current."""
         place = f"{self.root}/{address(name, fingerprint_, version)}"
         writer = table.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(place)
-        path, system = self._pointer(name)
-        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.draft")
-        out = system.create(draft, True)
-        out.write(bytearray(json.dumps({"path": place, "fingerprint": fingerprint_, "version": version}, sort_keys=True).encode()))
-        out.close()
-        system.delete(path, False)
-        system.rename(draft, path)
+        self._point(name, {"path": place, "fingerprint": fingerprint_, "version": version})
         return place
 
     def read(self, name: str, *, fingerprint_: str | None = None, version: int = 1) -> DataFrame | None:
@@ -73,8 +86,7 @@ class Store:
         return self.spark.read.parquet(found["path"])
 
     def invalidate(self, name: str) -> None:
-        path, system = self._pointer(name)
-        system.delete(path, False)
+        self._point(name, {"path": None, "fingerprint": None, "version": None})
 
 
 def append_replace(table: DataFrame, new: DataFrame, root: str, *, path: str = "path") -> DataFrame:

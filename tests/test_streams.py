@@ -42,9 +42,20 @@ def test_store_versions(spark, tmp_path):
     store.write("t", spark.range(3), "one")
     store.write("t", spark.range(5), "two")
     assert store.read("t", fingerprint_="two").count() == 5 and store.read("t", fingerprint_="one") is None and store.read("t", version=2) is None
-    (tmp_path / "t.current").write_text("{")
-    (tmp_path / ".t.current.crc").unlink(missing_ok=True)
+    (tmp_path / "t.current-000000003").write_text("{")  # a pointer that isn't valid is passed over
+    assert store.read("t").count() == 5
+    store.invalidate("t")
     assert store.read("t") is None
+    store.write("t", spark.range(7), "three")
+    assert store.read("t").count() == 7 and sum(not x.name.startswith(".") for x in tmp_path.glob("*t.current-*")) == 2
+
+
+def test_command_operations(spark):
+    from pyspark.sql import functions as F
+
+    commands = {"dotnet build x": ["test"], "findstr a b.cs": ["search"], "ls | Select-String x": ["search"], "bat a.py": ["file_read"], "Set-Content a 1": ["edit"], "cp a b": ["other"], "git grep x && cat y": ["search", "file_read"]}
+    got = spark.createDataFrame([(c,) for c in commands], "c string").select("c", records.operations(F.col("c")).alias("o")).collect()
+    assert {r["c"]: r["o"] for r in got} == commands
 
 
 def test_fingerprint_follows_content(spark):

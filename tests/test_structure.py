@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 from lodestone.engine import Engine
 from lodestone.functions.text import redact
 from lodestone.operators import blocks, graph, symbols
-from lodestone.queries import SOURCES
+
+
+SOURCES = [
+    ("pkg/__init__.py", ""), ("pkg/settings.py", "X = 1\n"), ("pkg/core.py", "import pkg.settings\nfrom pkg.util import a\n"), ("pkg/util.py", "import os\n"),
+    ("web/app.ts", "import x from './lib'\nimport y from '@shared/z'\nconst q = require('./old.js')\n"), ("web/lib/index.ts", "export default 1\n"), ("web/old.ts", ""), ("shared/z.tsx", "import '../web/app'\n"),
+    ("cs/IStore.cs", "namespace Shop.Data\n{\n public interface IStore { void Save(Item item); }\n}\n"),
+    ("cs/Store.cs", "using System;\nusing Shop.Data;\nnamespace Shop.Core\n{\n public class Store : IStore\n {\n  private readonly Item _item;\n  public Store(Item item) { _item = item; }\n  public void Save(Item item) { var x = new Item(); Check(x); }\n  private void Check(Item item) { }\n }\n public class Item { public int Id { get; set; } }\n}\n"),
+    ("cs/StoreTests.cs", "using Shop.Core;\nnamespace Shop.Tests\n{\n public class StoreTests\n {\n  [Fact]\n  public void Saves() { var s = new Store(null); s.Save(null); }\n }\n}\n"),
+    ("main.go", 'import "fmt"\n'), ("lib.rs", "use crate::a;\nmod util;\n"), ("tool.rb", "require 'json'\n"), ("App.java", "import static org.A.b;\nimport org.C.*;\n"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +129,45 @@ def test_engine(spark, sources):
     assert engine.update_file("pkg/util.py", None).search("import os").count() == 0
 
 
+def _tables(engine):
+    """What the engine knows, without ids that depend on the order of files."""
+    path = {r["file_id"]: r["path"] for r in engine.files.collect()}
+    return {
+        "files": sorted((r["path"], r["text"]) for r in engine.files.collect()), "postings": sorted((path[r["file_id"]], r["gram"]) for r in engine.postings.collect()),
+        "edges": sorted(map(tuple, engine.edges.collect())), "symbols": sorted(map(str, engine.symbol_table.drop("ord").collect())),
+        "relations": sorted(map(str, engine.symbol_edges.drop("ord").collect())), "chunks": sorted((r["path"], r["start_line"], str(r["embedding"])) for r in engine.chunks.collect()),
+    }
+
+
+def test_updates_equal_a_rebuild(spark, sources):
+    aliases = {"@shared": ["shared"]}
+    engine, now = Engine.build(spark, sources, aliases).semantic_index(), dict(SOURCES)
+    for path, text in [("cs/Item2.cs", "namespace Shop.Core { public class Item2 : Store { } }\n"), ("pkg/util.py", None), ("cs/Store.cs", SOURCES[9][1].replace("Check", "Inspect")), ("web/lib.ts", "export const a = 1\n")]:
+        engine = engine.update_file(path, text)
+        now = {p: t for p, t in {**now, path: text}.items() if t is not None}
+    rebuilt = Engine.build(spark, spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(sorted(now.items()))], "file_id long, path string, text string"), aliases).semantic_index()
+    assert _tables(engine) == _tables(rebuilt)
+    assert ("web/app.ts", "shared/z.tsx") in {(r["src"], r["dst"]) for r in engine.edges.collect()}
+    assert engine.search("Inspect").count() == 1 and engine.search("import os").count() == 0
+
+
+def test_added_folders_keep_what_was_there(spark, sources, tmp_path):
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/a.py").write_text("import b\n")
+    (tmp_path / "more/b.py").write_text("needle = 1\n")
+    engine = Engine.build(spark, sources, {"@shared": ["shared"]}).semantic_index().add_directory(str(tmp_path / "more"))
+    edges = {(r["src"], r["dst"]) for r in engine.edges.collect()}
+    assert {("web/app.ts", "shared/z.tsx"), ("more/a.py", "more/b.py")} <= edges and engine.search("needle").count() == 1
+    (tmp_path / "more/b.py").unlink()
+    assert engine.add_directory(str(tmp_path / "more")).search("needle").count() == 0
+
+
+def test_signatures_are_redacted(spark):
+    text = 'namespace A\n{\n public class C\n {\n  public void B(string password = "hunter2secret") { }\n }\n}\n'
+    engine = Engine.build(spark, spark.createDataFrame([(0, "a.cs", text)], "file_id long, path string, text string"))
+    assert all("hunter2secret" not in r["snippet"] for r in engine.search_code("B", mode="symbol")["results"].collect())
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "node_modules").mkdir()
