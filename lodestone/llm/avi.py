@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 ACROSS, DOWN, RATE = 16, 12, 25
 UNIT = ACROSS * DOWN  # payload bytes of a frame
 PAD = b" "
@@ -245,6 +247,12 @@ def shots(values: np.ndarray, *, bins: int = 16, times: float = 2.0, window: int
     return np.concatenate(([0], np.flatnonzero((change > mean + times * deviation) & (change >= 0.1)) + 1)), change
 
 
+def timed(firsts: np.ndarray, change: np.ndarray, frames: int, seconds: float) -> list[tuple[float, float, int, float]]:
+    """(start, end, frames, the difference that began it) of each shot."""
+    ends = [*firsts[1:].tolist(), frames]
+    return [(a * seconds, b * seconds, b - a, float(change[a - 1]) if a else 0.0) for a, b in zip(firsts.tolist(), ends)]
+
+
 def padded(text: str | None) -> bytes:
     raw = (text or "").encode("utf-8", "surrogatepass")
     return raw + PAD * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
@@ -286,20 +294,18 @@ def clips(media: DataFrame) -> DataFrame:
                     continue
                 frames, seconds = read_avi(blob.as_py())
                 values = decode_frames(frames)
-                firsts, change = shots(values)
-                ends = [*firsts[1:].tolist(), len(values)]
-                rows += [(doc, i, a * seconds, b * seconds, b - a, float(change[a - 1]) if a else 0.0) for i, (a, b) in enumerate(zip(firsts.tolist(), ends))]
+                rows += [(doc, i, *clip) for i, clip in enumerate(timed(*shots(values), len(values), seconds))]
             types = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], ["doc_id", "clip", "start_s", "end_s", "frames", "change"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_s double, end_s double, frames long, change double")
 
 
-_REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double,frames:bigint,change:double>>"
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """One row for each file: digests of the bytes that decoding gives and of the file, and its shots as a feature string."""
+    """One row for each file: digests of the bytes that decoding gives and of the file, and its shots as a feature string and as timed clips."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,10 +317,12 @@ def digests(media: DataFrame) -> DataFrame:
                 payload = values.tobytes()
                 firsts, change = shots(values)
                 feature = f"frames={len(values)};seconds={len(values) * seconds:.2f};shots={len(firsts)};starts={','.join(f'{a * seconds:.2f}' for a in firsts.tolist())};change={change.max(initial=0.0):.6f}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature, timed(firsts, change, len(values), seconds)))
+            clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int64()), ("change", pa.float64())]))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip)
             names = [x.split()[0] for x in _REPORT.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
+        release()
 
     return media.mapInArrow(run, _REPORT)
 
