@@ -41,7 +41,7 @@ class Engine:
     def index(cls, spark: SparkSession, root: str, **options) -> Engine:
         """Reads a folder and builds every table but the vectors, each stored once."""
         files = corpus.read_folder(spark, root, **options).withColumn("text", exact.text_of(F.col("content"))).drop("content")
-        return cls.build(spark, stored(corpus.numbered(files), "files"), corpus.script_aliases(root))
+        return cls.build(spark, stored(corpus.numbered(files), "files"), corpus.script_aliases(spark, root))
 
     @classmethod
     def build(cls, spark: SparkSession, files: DataFrame, aliases: dict[str, list[str]] | None = None) -> Engine:
@@ -66,7 +66,7 @@ class Engine:
         prefix = root.rstrip("/").rsplit("/", 1)[-1]
         more = more.withColumn("path", F.concat(F.lit(prefix + "/"), "path"))
         aliases = dict(self.aliases or {})
-        for name, roots in corpus.script_aliases(root).items():
+        for name, roots in corpus.script_aliases(self.spark, root).items():
             aliases[name] = [*aliases.get(name, []), *[f"{prefix}/{r}".rstrip("/") for r in roots]]
         old = self.files.where(F.startswith("path", F.lit(prefix + "/"))).select("path").join(more.select("path"), "path", "left_anti")
         changed = more.select("path", "text").unionByName(old.withColumn("text", F.lit(None).cast("string")))

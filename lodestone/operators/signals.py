@@ -56,14 +56,16 @@ def scan(files: DataFrame, entries=CATALOGUE, *, categories: list[str] | None =
     present = F.filter(table, lambda n: F.contains(F.col("folded"), n["needle"]))
     rows = files.select("file_id", "path", text.alias("text"), fold(text).alias("folded")).withColumn("present", present).where(F.size("present") > 0)
     rows = rows.select("file_id", "path", F.split("text", "\n", -1).alias("lines"), F.split("folded", "\n", -1).alias("search"), F.explode("present").alias("n"))
-    places = F.slice(F.filter(F.transform("search", lambda x, i: F.when(F.contains(x, F.col("n.needle")), i)), lambda i: i.isNotNull()), 1, per_file)
-    rows = rows.where(F.size(places) > 0).withColumn("places", places)
+    hit = F.transform("search", lambda x, i: F.when(F.contains(x, F.col("n.needle")), F.struct(i.alias("i"), F.get("lines", i).alias("content"))))
+    places = F.slice(F.filter(hit, lambda h: h.isNotNull()), 1, per_file)
+    # From here on a row holds its few matching lines only, not its file.
+    rows = rows.select("file_id", "path", "n", places.alias("places")).where(F.size("places") > 0)
     first_files = Window.partitionBy("n.ord", "n.q").orderBy("file_id")
     rows = rows.withColumn("nth", F.row_number().over(first_files)).where(F.col("nth") <= max_files)
-    rows = rows.select("n.ord", "n.id", "n.category", "n.q", "file_id", "path", "lines", F.explode("places").alias("i"))
+    rows = rows.select("n.ord", "n.id", "n.category", "n.q", "file_id", "path", F.inline("places"))
     rows = rows.withColumn("once", F.row_number().over(Window.partitionBy("ord", "file_id", "i").orderBy("q"))).where("once = 1")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("ord").orderBy("q", "file_id", "i"))).where(F.col("rank") <= min(top_k, TOP_LIMIT))
-    shown = snippet(line_end_trimmed(F.get("lines", F.col("i"))), SHORT_SNIPPET if compact else SNIPPET)
+    shown = snippet(line_end_trimmed(F.col("content")), SHORT_SNIPPET if compact else SNIPPET)
     return ranked.select("ord", "id", "category", "rank", "file_id", "path", (F.col("i") + 1).alias("line"), shown.alias("content"))
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,13 +102,14 @@ def statistics(files: DataFrame, *, size: str = "size") -> DataFrame:
     return files.agg(n.alias("files"), total.alias("source_bytes"), (total + F.greatest(n - 1, F.lit(0))).alias("corpus_bytes"), F.max(size).alias("largest"))
 
 
-def script_aliases(folder: str) -> dict[str, list[str]]:
+def script_aliases(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """Alias roots of a script project's configuration, relative to its folder; files that aren't valid are passed over. "" holds the base."""
     found: dict[str, list[str]] = {}
     for name in ("tsconfig.json", "jsconfig.json", "tsconfig.base.json"):
         try:
-            options = json.loads(Path(folder, name).read_text(encoding="utf-8")).get("compilerOptions", {})
-        except (OSError, ValueError, AttributeError):
+            row = spark.read.text(f"{folder.rstrip('/')}/{name}", wholetext=True).first()
+            options = json.loads(row["value"]).get("compilerOptions", {})
+        except (AnalysisException, TypeError, ValueError, AttributeError):
             continue
         base = str(options.get("baseUrl", ".")).strip("./")
         join = lambda t, base=base: "/".join(x for x in (base, t.rstrip("/*").lstrip("./")) if x)
