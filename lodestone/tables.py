@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Seconds between collections of the driver's garbage at least, and when the last one was.
+COLLECT_S, _collected = 5.0, 0.0
+
+
+def _collect(spark: SparkSession) -> None:
+    """Spark removes the shuffle files and broadcasts of finished steps when the driver's JVM finds that nothing refers to
+    them. That JVM has memory to spare and seldom looks, so jobs of many stored steps ask for it."""
+    global _collected
+    if time.monotonic() - _collected > COLLECT_S:
+        spark._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and read back.
 
@@ -27,4 +41,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
