@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from .text import col
 
 #: Extensions and folders of each index.
-EXACT_EXTENSIONS = ".py .js .ts .tsx .jsx .go .rs .c .cpp .h .hpp .java .cs .rb .php .swift .kt .json .yaml .yml .toml .md .txt .html .css .scss .sql .sh .bat .ps1 .cfg .ini .xml".split()
-SEMANTIC_EXTENSIONS = ".py .js .ts .tsx .jsx .go .rs .c .cpp .h .hpp .java .cs .rb .php .swift .kt .sh .sql .md .txt".split()
-DEPENDENCY_EXTENSIONS = ".py .js .ts .tsx .jsx .go .rs .java .cs .rb".split()
-SKIPPED_FOLDERS = ".git node_modules __pycache__ .venv venv dist build .next .nuxt target bin obj .idea .vscode .mypy_cache".split()
-SYMBOL_SKIPPED_FOLDERS = ".git .venv .vs bin build dist node_modules obj target __pycache__".split()
-PLAN_SKIPPED_FOLDERS = ".agents .git .venv .vs __pycache__ build dist node_modules target".split()
-SEARCH_CONFIG_NAMES = (
-    "pyproject.toml setup.cfg tox.ini pytest.ini package.json tsconfig.json appsettings.json appsettings.development.json dockerfile docker-compose.yml docker-compose.yaml"
-).split()
-SEARCH_CONFIG_ENDS = ".config .cfg .ini .yaml .yml .toml".split()
-PLAN_CONFIG_NAMES = "dockerfile makefile readme license pyproject.toml package.json appsettings.json appsettings.development.json".split()
-PLAN_CONFIG_ENDS = ".cfg .conf .config .ini .json .md .rst .toml .yaml .yml".split()
+EXACT_EXTENSIONS = [".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".java", ".cs", ".rb", ".php", ".swift", ".kt", ".json", ".yaml", ".yml", ".toml", ".md", ".txt", ".html", ".css", ".scss", ".sql", ".sh", ".bat", ".ps1", ".cfg", ".ini", ".xml"]
+SEMANTIC_EXTENSIONS = [".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".java", ".cs", ".rb", ".php", ".swift", ".kt", ".sh", ".sql", ".md", ".txt"]
+DEPENDENCY_EXTENSIONS = [".py", ".js", ".ts", ".tsx", ".jsx", ".go", ".rs", ".java", ".cs", ".rb"]
+SKIPPED_FOLDERS = [".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "target", "bin", "obj", ".idea", ".vscode", ".mypy_cache"]
+SYMBOL_SKIPPED_FOLDERS = [".git", ".venv", ".vs", "bin", "build", "dist", "node_modules", "obj", "target", "__pycache__"]
+PLAN_SKIPPED_FOLDERS = [".agents", ".git", ".venv", ".vs", "__pycache__", "build", "dist", "node_modules", "target"]
+SEARCH_CONFIG_NAMES = ["pyproject.toml", "setup.cfg", "tox.ini", "pytest.ini", "package.json", "tsconfig.json", "appsettings.json", "appsettings.development.json", "dockerfile", "docker-compose.yml", "docker-compose.yaml"]
+SEARCH_CONFIG_ENDS = [".config", ".cfg", ".ini", ".yaml", ".yml", ".toml"]
+PLAN_CONFIG_NAMES = ["dockerfile", "makefile", "readme", "license", "pyproject.toml", "package.json", "appsettings.json", "appsettings.development.json"]
+PLAN_CONFIG_ENDS = [".cfg", ".conf", ".config", ".ini", ".json", ".md", ".rst", ".toml", ".yaml", ".yml"]
 TEST_NAME = r"(^|/)test_[^/]*$|_test\.py$|\.(test|spec)\.(js|ts|tsx)$|tests?\.cs$"
 
 
@@ -94,6 +92,9 @@ def under_roots(path: str | Column, roots: list[str]) -> Column:
     return found
 
 
+#: Languages of a file's extension; any other is "text".
+LANGUAGES = {".cs": "csharp", ".py": "python", ".ts": "typescript", ".tsx": "typescriptreact", ".js": "javascript", ".jsx": "javascriptreact", ".json": "json", ".sql": "sql"}
+
+
 def language(path: str | Column) -> Column:
-    known = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".cs": "csharp", ".go": "go", ".rs": "rust", ".java": "java", ".rb": "ruby"}
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[extension(path)], F.lit("text"))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])[extension(path)], F.lit("text"))

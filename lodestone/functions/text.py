@@ -19,7 +19,7 @@ REDACTIONS = [
 ]
 
 #: What a plan request's words are that say nothing of its subject.
-STOP_WORDS = "add adjust and change create delete feature fix for from implement in make modify of remove rename the this to update with".split()
+STOP_WORDS = ["add", "adjust", "and", "change", "create", "delete", "feature", "fix", "for", "from", "implement", "in", "make", "modify", "of", "remove", "rename", "the", "this", "to", "update", "with"]
 
 
 def col(value: str | Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.stats import dot, normalized
 from ..functions.text import redact
+from ..tables import stored
 
 CHUNK, OVERLAP, MAX_CHUNKS = 40, 8, 500_000
 #: What ends a line of a chunk: CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS.
@@ -29,9 +32,14 @@ def chunks(files: DataFrame, *, size: int = CHUNK, overlap: int = OVERLAP, text_
 
 
 def capped(chunked: DataFrame, limit: int = MAX_CHUNKS) -> DataFrame:
-    """The first chunks in path and line order, with a flag if some were left out. The order is found without a global sort of texts."""
-    first = chunked.orderBy("path", "start_line").limit(limit)
-    return first.join(F.broadcast(chunked.agg((F.count("*") > limit).alias("chunks_capped"))))
+    """The first chunks in path, line and file order, with a flag if some were left out.
+
+    Only the keys of the first ones meet in one task, without texts; the last key cuts all rows. Chunks of one key stay together.
+    """
+    key = F.struct("path", "start_line", "file_id")
+    first = chunked.select(key.alias("k")).orderBy("k").limit(limit)
+    last = first.agg(F.max("k").alias("_last")).join(chunked.agg((F.count("*") > limit).alias("chunks_capped")))  # one row each
+    return chunked.join(F.broadcast(last)).where(key <= F.col("_last")).drop("_last")
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 4) -> DataFrame:
@@ -43,15 +51,27 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str =
     return rows.orderBy(F.col("_exact").desc_nulls_last(), id_col).limit(k).withColumn("score", F.round("_exact", digits)).drop("_exact", vector_col)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", max_queries: int = 1000, digits: int = 4) -> DataFrame:
-    """query_id, rank, id, score for a stated set of queries (query_id, q), which is checked to be small enough to be broadcast."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search them in several calls")
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1000, digits: int = 4) -> DataFrame:
+    """query_id, rank, id, score for a stated set of queries (query_id, q), in blocks: about `block` queries are sent to all vectors at once.
+
+    A block is dealt out by hash, so its size is counted before it is broadcast and halved until it fits. Each task
+    keeps k rows a query before they are shuffled.
+    """
+    queries = stored(queries.select("query_id", normalized("q").alias("_q")), "queries")
+    blocks = 1
+    while True:
+        dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        most = dealt.groupBy("_block").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if most <= block or blocks >= most * 64:
+            break
+        blocks *= 2
     unit = vectors.select(id_col, normalized(F.col(vector_col)).alias("_v"))
-    pairs = unit.join(F.broadcast(queries.select("query_id", normalized("q").alias("_q"))))
-    pairs = pairs.select("query_id", id_col, dot("_v", "_q").alias("_exact"))
     order = Window.partitionBy("query_id").orderBy(F.col("_exact").desc(), id_col)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, F.round("_exact", digits).alias("score"))
+    found = []
+    for i in range(blocks):
+        pairs = unit.join(F.broadcast(dealt.where(F.col("_block") == i))).select("query_id", id_col, dot("_v", "_q").alias("_exact"))
+        found.append(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, F.round("_exact", digits).alias("score")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def hashed_vectors(texts: DataFrame, *, dims: int = 64, text_col: str = "text") -> DataFrame:

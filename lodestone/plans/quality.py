@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import normal
-from ..functions.stats import at_nearest_rank
+from ..functions.stats import with_quantiles
 
 METRICS = ["recall_at_1", "recall_at_5", "recall_at_10", "precision_at_5", "mean_reciprocal_rank", "exact_symbol_recall", "related_test_recall"]
 
@@ -45,9 +45,9 @@ def means(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resources(runs: DataFrame, by: list[str], *, latency: str = "latency_ms", returned: str = "returned_tokens") -> DataFrame:
-    """latency p50 and p95 by nearest rank, and mean and largest number of returned tokens. Lists hold one number a query."""
-    lists = runs.groupBy(*by).agg(F.collect_list(latency).alias("l"), F.avg(returned).alias("returned_tokens_mean"), F.max(returned).alias("returned_tokens_max"))
-    return lists.select(*by, F.round(at_nearest_rank("l", 0.5), 3).alias("latency_ms_p50"), F.round(at_nearest_rank("l", 0.95), 3).alias("latency_ms_p95"), F.round("returned_tokens_mean", 3).alias("returned_tokens_mean"), "returned_tokens_max")
+    """latency p50 and p95 by nearest rank, and mean and largest number of returned tokens."""
+    found = with_quantiles(runs, by, latency, {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}, F.avg(returned).alias("mean"), F.max(returned).alias("returned_tokens_max"))
+    return found.select(*by, F.round("p50", 3).alias("latency_ms_p50"), F.round("p95", 3).alias("latency_ms_p95"), F.round("mean", 3).alias("returned_tokens_mean"), "returned_tokens_max")
 
 
 def long(table: DataFrame, metrics: list[str], by: str = "mode") -> DataFrame:
@@ -80,7 +80,7 @@ def gate(current: DataFrame, baseline: DataFrame, *, max_drop: float = 0.0, max_
 
 
 def timings(samples: DataFrame, by: list[str], seconds: str) -> DataFrame:
-    """p50 (the median), p95 and p99 (by nearest rank) and min in milliseconds. A group's list holds one number a sample."""
-    ms = F.col(seconds) * 1000
-    lists = samples.groupBy(*by).agg(F.collect_list(ms).alias("l"), F.percentile(ms, 0.5).alias("p50"), F.min(ms).alias("min"))
-    return lists.select(*by, F.round("p50", 3).alias("p50"), F.round(at_nearest_rank("l", 0.95), 3).alias("p95"), F.round(at_nearest_rank("l", 0.99), 3).alias("p99"), F.round("min", 3).alias("min"))
+    """p50 (the median), p95 and p99 (by nearest rank) and min in milliseconds."""
+    ms = samples.select(*by, (F.col(seconds) * 1000).alias("_ms"))
+    found = with_quantiles(ms, by, "_ms", {"p50": ("median", 0.5), "p95": ("nearest", 0.95), "p99": ("nearest", 0.99)}, F.min("_ms").alias("min"))
+    return found.select(*by, *[F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "min")])

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import with_quantiles
+from ..tables import stored
+
 TOKENS = ["input_tokens", "output_tokens", "cached_input_tokens", "reasoning_tokens", "total_tokens"]
 
 
@@ -85,8 +88,15 @@ def patch(changes: DataFrame, expected: Column) -> DataFrame:
 def statistics(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """count, mean, p50 (the median), p95 (at rank ceil(0.95 n)), min, max by group, three digits; groups without a value have count 0 and nulls."""
     v = F.col(value)
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
-    return values.groupBy(*by).agg(F.count(v).alias("n"), *[F.round(x, 3).alias(k) for k, x in (("mean", F.avg(v)), ("p50", F.percentile(v, 0.5)), ("p95", p95), ("min", F.min(v)), ("max", F.max(v)))])
+    plain = (F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    found = with_quantiles(values, by, value, {"p50": ("median", 0.5), "p95": ("rank", 0.95)}, *plain)
+    return found.select(*by, "n", *[F.round(c, 3).alias(c) for c in ("mean", "p50", "p95", "min", "max")])
+
+
+def per_success(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """mode, metric and its statistics over the successful runs that may be compared: what a solved task takes."""
+    won = runs.where(F.coalesce("eligible", F.lit(True)) & F.coalesce("success", F.lit(False)))
+    return statistics(long(won, metrics), ["mode", "metric"])
 
 
 def long(runs: DataFrame, metrics: list[str]) -> DataFrame:
@@ -115,6 +125,15 @@ def by_task(runs: DataFrame, baseline: str, other: str) -> DataFrame:
     return per.withColumn("regressed", F.coalesce(F.col("other_rate") < F.col("baseline_rate"), F.lit(False)))
 
 
+def by_task_and_mode(runs: DataFrame, modes: list[str]) -> DataFrame:
+    """task_id, mode, runs, successes, success_rate, validation_passes of every task in every mode; without runs that may be compared zeros and a null rate."""
+    ok = F.coalesce("eligible", F.lit(True)) & F.col("mode").isin(modes)
+    each = runs.select("task_id", F.when(ok, F.col("mode")).alias("_mode"), "success", "validation_passed", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    own = F.coalesce(F.col("_mode") == F.col("mode"), F.lit(False))
+    n, won = F.count_if(own), F.count_if(own & F.coalesce("success", F.lit(False)))
+    return each.groupBy("task_id", "mode").agg(n.alias("runs"), won.alias("successes"), F.round(won / F.nullif(n, F.lit(0)), 6).alias("success_rate"), F.count_if(own & F.coalesce("validation_passed", F.lit(False))).alias("validation_passes"))
+
+
 def paired(runs: DataFrame, baseline: str, other: str, identity: list[str]) -> DataFrame:
     """One row: paired_configuration, whether both modes hold the same multiset of identities, and any at all."""
     eligible = runs.where(F.coalesce("eligible", F.lit(True)))
@@ -167,5 +186,12 @@ def schedule(tasks: DataFrame, modes: list[str], repetitions: int, *, order: str
     forward = F.array(*map(F.lit, modes))
     turned = F.when((F.col("place") + F.col("repetition")) % 2 == 1, F.reverse(forward)).otherwise(forward) if order == "alternating" else forward
     rows = each.select("task_id", "place", "repetition", F.posexplode(turned).alias("slot", "mode"))
-    key = [F.xxhash64("task_id", "mode", "repetition", F.lit(seed)), F.col("task_id"), F.col("mode"), F.col("repetition")] if order == "random" else [F.col("repetition"), F.col("place"), F.col("slot")]
-    return rows.withColumn("nth", F.row_number().over(Window.orderBy(*key))).select("nth", "task_id", "mode", "repetition")
+    key = [F.xxhash64("task_id", "mode", "repetition", F.lit(seed)), F.col("task_id"), F.col("mode"), F.col("repetition")] if order == "random" else [F.col("repetition"), F.col("place"), F.col("slot"), F.col("task_id")]
+    names = [f"_k{i}" for i in range(len(key))]
+    rows = rows.select("task_id", "mode", "repetition", *[k.alias(n) for k, n in zip(key, names)])
+    # Ranges are stored so that their bounds are drawn once, then counted; only a range is ordered in one task.
+    ranged = stored(rows.repartitionByRange(*names).withColumn("_part", F.spark_partition_id()), "schedule")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
+    return ranged.withColumn("_own", own).join(F.broadcast(base), "_part").select((F.col("_base") + F.col("_own")).cast("int").alias("nth"), "task_id", "mode", "repetition")  # base: a row a range

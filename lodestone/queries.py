@@ -268,7 +268,7 @@ def semantic_boosted(spark, table):
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(exact, 4) AS score FROM r WHERE rank <= 5""")
 def semantic_batch(spark, table):
     rows = table("embeddings")
-    return semantic.batch_top_k(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5, max_queries=100_000)
+    return semantic.batch_top_k(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
 
 
 @query("""WITH s AS (SELECT event_id, user_id, value, event_type, ts, max(ts) OVER () AS as_of FROM events)
@@ -680,6 +680,19 @@ def run_statistics(spark, table):
     return trajectory.statistics(trajectory.long(runs, ["total_tokens", "duration_ms"]), ["mode", "metric"])
 
 
+@query(f"""WITH w AS (SELECT mode, total_tokens, duration_ms FROM ({_RUNS}) WHERE eligible AND success), r AS (SELECT mode, 'total_tokens' AS metric, total_tokens AS v FROM w UNION ALL SELECT mode, 'duration_ms', duration_ms FROM w)
+    SELECT mode, metric, count(v) AS n, round(avg(v), 3) AS mean, round(quantile_cont(v, 0.5), 3) AS p50, round(quantile_disc(v, 0.95), 3) AS p95, round(min(v), 3) AS min, round(max(v), 3) AS max FROM r GROUP BY mode, metric""")
+def ab_per_success(spark, table):
+    return trajectory.per_success(_runs(table), ["total_tokens", "duration_ms"])
+
+
+@query(f"""WITH t AS (SELECT DISTINCT task_id FROM ({_RUNS})), m AS (SELECT unnest(['baseline', 'assisted']) AS mode), r AS (SELECT * FROM ({_RUNS}) WHERE eligible)
+    SELECT task_id, mode, count(r.run_id) AS runs, count(*) FILTER (success) AS successes, round(count(*) FILTER (success) / nullif(count(r.run_id), 0), 6) AS success_rate, count(*) FILTER (passed) AS validation_passes
+    FROM t CROSS JOIN m LEFT JOIN r USING (task_id, mode) GROUP BY task_id, mode""")
+def ab_task_modes(spark, table):
+    return trajectory.by_task_and_mode(_runs(table), ["baseline", "assisted"])
+
+
 def _paired_runs(table, whole: bool) -> DataFrame:
     """Every customer as a task that ran in both modes; if not whole, those with a negative balance in one only."""
     c = table("customer").select(F.col("c_custkey").alias("task_id"), "c_acctbal", F.explode(F.array(F.lit("baseline"), F.lit("assisted"))).alias("mode"))
@@ -703,8 +716,8 @@ def paired_reductions(spark, table):
 @query("""WITH s AS (SELECT l_suppkey, list(l_quantity * l_extendedprice ORDER BY l_quantity * l_extendedprice) AS v FROM lineitem GROUP BY l_suppkey)
     SELECT l_suppkey, v[CAST(round_even((len(v) - 1) * 0.5, 0) AS BIGINT) + 1] AS p50, v[CAST(round_even((len(v) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95, v[least(CAST(floor(len(v) * 0.95) AS BIGINT), len(v) - 1) + 1] AS cut95 FROM s""")
 def percentile_rules(spark, table):
-    lists = table("lineitem").groupBy("l_suppkey").agg(F.collect_list(F.col("l_quantity") * F.col("l_extendedprice")).alias("v"))
-    return lists.select("l_suppkey", stats.at_nearest_rank("v", 0.5).alias("p50"), stats.at_nearest_rank("v", 0.95).alias("p95"), stats.at_cut_rank("v", 0.95).alias("cut95"))
+    rows = table("lineitem").select("l_suppkey", (F.col("l_quantity") * F.col("l_extendedprice")).alias("v"))
+    return stats.quantiles(rows, ["l_suppkey"], "v", {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95), "cut95": ("cut", 0.95)})
 
 
 @query("""WITH l AS (SELECT user_id, value < lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS f FROM events) SELECT user_id, count(*) FILTER (f) AS fell FROM l GROUP BY user_id""")
@@ -787,6 +800,24 @@ def symbols_before_text(spark, table):
     return fusion.symbols_first(first, rest, 200)
 
 
+@query("""WITH c AS (SELECT p_partkey - 1 AS id, p_size AS len, sum(p_size + 1) OVER (ORDER BY p_partkey) - p_size - 1 AS o FROM part), f AS (SELECT id, len, CASE WHEN id % 11 = 0 THEN -1 WHEN id % 13 = 0 THEN 1000000000 ELSE o END AS o FROM c),
+    t AS (SELECT sum(p_size + 1) AS n FROM part), s AS (SELECT count(*) AS n, count(DISTINCT id) AS d, max(id) AS m, count(*) FILTER (id < 0) AS neg, count(*) FILTER (o < 0 OR len < 0) AS rec, count(*) FILTER (o + len > (SELECT n FROM t)) AS beyond FROM f)
+    SELECT 'file ids' AS "check", CAST(greatest(n - d, m + 1 - n, neg) AS BIGINT) AS bad FROM s UNION ALL SELECT 'file records', rec FROM s UNION ALL SELECT 'files beyond the corpus', beyond FROM s
+    UNION ALL SELECT 'chunk size', 0 UNION ALL SELECT 'chunk records', 0 UNION ALL SELECT 'chunks beyond the corpus', 0 UNION ALL SELECT 'chunk coverage', 0""")
+def catalogue_faults(spark, table):
+    space = corpus.packed(table("part").select((F.col("p_partkey") - 1).alias("file_id"), F.col("p_size").alias("size")))
+    broken = F.when(F.col("file_id") % 11 == 0, F.lit(-1)).when(F.col("file_id") % 13 == 0, F.lit(1_000_000_000)).otherwise(F.col("offset"))
+    size = table("part").agg(F.coalesce(F.sum(F.col("p_size") + 1), F.lit(0)).alias("n")).first()["n"]
+    return corpus.faults(space.withColumn("offset", broken), corpus.chunk_table(size, 4096, spark), corpus_bytes=size, chunk=4096)
+
+
+@query(f"""SELECT page_id, CASE WHEN f IN ('/test_a.py') THEN 'python' WHEN f = '/app.spec.ts' THEN 'typescript' WHEN f = '/config/x.json' THEN 'json' WHEN f = '\\Tests\\B.cs' THEN 'csharp' ELSE 'text' END AS language
+    FROM (SELECT page_id, ['/test_a.py', '/app.spec.ts', '/config/x.json', '/.env.local', '/README', '\\Tests\\B.cs'][CAST(page_id % 6 AS INT) + 1] AS f FROM pages)""")
+def path_languages(spark, table):
+    ends = F.element_at(F.array(*map(F.lit, ["/test_a.py", "/app.spec.ts", "/config/x.json", "/.env.local", "/README", "\\Tests\\B.cs"])), (F.col("page_id") % 6 + 1).cast("int"))
+    return table("pages").select("page_id", paths.language(F.concat(F.regexp_replace("url", "^[a-z]+://", ""), ends)).alias("language"))
+
+
 @query("""WITH s AS (SELECT l_returnflag, list(l_discount * 1000 ORDER BY l_discount * 1000) AS v, quantile_cont(l_discount * 1000, 0.5) AS m FROM lineitem GROUP BY l_returnflag)
     SELECT l_returnflag, round(m, 3) AS p50, round(v[CAST(round_even((len(v) - 1) * 0.95, 0) AS BIGINT) + 1], 3) AS p95, round(v[CAST(round_even((len(v) - 1) * 0.99, 0) AS BIGINT) + 1], 3) AS p99, round(v[1], 3) AS min FROM s""")
 def timing_summary(spark, table):

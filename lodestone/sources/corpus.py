@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import EXACT_EXTENSIONS, SKIPPED_FOLDERS, extension, is_skipped
-from ..tables import stored
+from ..tables import shared_dir, stored
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -18,28 +20,82 @@ MAX_BYTES = 5 * 1024 * 1024
 def read_folder(spark: SparkSession, root: str, *, extensions: list[str] = EXACT_EXTENSIONS, max_bytes: int = MAX_BYTES, folders: list[str] = SKIPPED_FOLDERS, env_files: bool = False, keep_empty: bool = True) -> DataFrame:
     """path (below the root), size, mtime, content of the files to index.
 
-    Spark's binaryFile lists and reads on the executors but leaves out files of length zero, which count for the exact
-    index; those come from the file system's own listing.
+    Folders to skip aren't entered, and only names of wanted kinds are listed. Spark's binaryFile reads on the executors, but
+    passes over empty files and every name that begins with a dot or an underscore (.env, __init__.py, .github): empty ones
+    come from the listing, hidden ones are first copied, as streams, under plain names to the shared folder.
     """
     wanted = [*extensions, ".env"] if env_files else list(extensions)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     base = system.makeQualified(hadoop).toString().rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = rows.select(F.expr(f"substring(path, {len(base) + 1})").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    # Listings write file:///a as file:/a; either prefix is taken off.
-    rows = rows.withColumn("path", F.regexp_replace(F.col("path"), r"^/+", ""))
+    whole, found = _walk(system, hadoop, set(folders))
+    empty, hidden = [], []
+    for status in found:
+        path, size, time = status.getPath(), status.getLen(), status.getModificationTime() / 1000
+        name = path.toString()[len(base) :].lstrip("/")
+        if size == 0:
+            empty.append((name, 0, time))
+        elif size <= max_bytes and any(step[0] in "._" for step in name.split("/")) and (name.lower().endswith(tuple(wanted)) or "/.env" in "/" + name.lower()):
+            hidden.append((path, name, size, time))
+    globs = ["*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    columns = [F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content"]
+    if whole:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(globs) + "}").load(whole)
+        rows = rows.select(F.expr(f"substring(path, {len(base) + 1})").alias("path"), *columns)
+        # Listings write file:///a as file:/a; either prefix is taken off.
+        rows = rows.withColumn("path", F.regexp_replace(F.col("path"), r"^/+", ""))
+    else:
+        rows = spark.createDataFrame([], "path string, size long, mtime timestamp, content binary")
+    if hidden:
+        folder = f"{shared_dir(spark)}/lodestone-hidden-{uuid.uuid4().hex}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store, copied = target.getFileSystem(spark._jsc.hadoopConfiguration()), []
+        for i, (path, name, size, time) in enumerate(hidden):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, path, store, spark._jvm.org.apache.hadoop.fs.Path(folder, f"n{i}"), False, spark._jsc.hadoopConfiguration())
+            copied.append((f"n{i}", name, size, time))
+        names = spark.createDataFrame(copied, "_n string, path string, size long, t double").withColumn("mtime", F.timestamp_seconds("t"))
+        contents = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("_n"), "content")
+        rows = rows.unionByName(contents.join(names, "_n").select("path", "size", "mtime", "content"))
     if keep_empty:
-        found, empty = system.listFiles(hadoop, True), []
-        while found.hasNext():
-            status = found.next()
-            if status.getLen() == 0:
-                empty.append((status.getPath().toString()[len(base) :].lstrip("/"), 0, status.getModificationTime() / 1000))
         rest = spark.createDataFrame(empty, "path string, size long, t double").select("path", "size", F.timestamp_seconds("t").alias("mtime"), F.lit(b"").alias("content"))
         rows = rows.unionByName(rest)
     return rows.where(extension("path").isin(wanted) & (F.col("size") <= max_bytes) & ~is_skipped("path", folders))
 
 
+def _walk(system, root, folders: set[str]) -> tuple[list[str], list]:
+    """(paths that Spark may list as a whole, statuses that need a look: empty files, and those that a listing by Spark hides).
+
+    A folder with nothing to skip below it is one path; otherwise its parts are.
+    """
+    statuses: list = []
+
+    def hides(name: str) -> bool:
+        return name.startswith((".", "_"))
+
+    def literal(path) -> str:
+        return re.sub(r"([\[\]{}*?\\])", r"\\\1", path.toString())  # Spark takes paths for patterns
+
+    def enter(folder, below_hidden: bool) -> tuple[bool, list[str]]:
+        clean, parts = True, []
+        for status in system.listStatus(folder):
+            name = status.getPath().getName()
+            if status.isDirectory():
+                if name.lower() in folders:
+                    clean = False
+                    continue
+                inner, found = enter(status.getPath(), below_hidden or hides(name))
+                if not hides(name):
+                    clean = clean and inner
+                    parts += found
+            elif below_hidden or hides(name) or status.getLen() == 0:
+                statuses.append(status)
+            else:
+                parts.append(literal(status.getPath()))
+        return clean, ([literal(folder)] if clean and parts else parts)
+
+    return enter(root, False)[1], statuses
+
+
 def skipped(spark: SparkSession, root: str, **options) -> DataFrame:
     """One row: skipped, how many files of wanted kinds were too large."""
     limit = options.pop("max_bytes", MAX_BYTES)
@@ -119,3 +175,32 @@ def script_aliases(spark: SparkSession, folder: str) -> dict[str, list[str]]:
         if base not in found.setdefault("", []):
             found[""].append(base)
     return found
+
+
+def faults(space: DataFrame, chunks: DataFrame, *, corpus_bytes: int, chunk: int) -> DataFrame:
+    """check, bad: what is wrong with a packed catalogue, by kind; all zero if it may be used.
+
+    space(file_id, offset, length), chunks(chunk_id, offset, valid_length). Files: ids that aren't whole from 0 on (or are
+    null or repeat), negative places, ends beyond the corpus. Chunks: a size below one, ids or places that don't follow,
+    ends beyond the corpus, a number that doesn't cover it. One pass over either table.
+    """
+    n = lambda condition: F.count_if(F.coalesce(condition, F.lit(True)))
+    end = F.col("offset") + F.col("length")
+    files = space.agg(
+        F.greatest(F.count("*") - F.countDistinct("file_id"), F.coalesce(F.max("file_id"), F.lit(-1)) + 1 - F.count("*"), n(F.col("file_id") < 0)).alias("file ids"),
+        n((F.col("offset") < 0) | (F.col("length") < 0)).alias("file records"), n(end > corpus_bytes).alias("files beyond the corpus"),
+    )
+    parts = chunks.agg(
+        F.lit(int(chunk <= 0)).cast("long").alias("chunk size"), n((F.col("offset") != F.col("chunk_id") * chunk) | (F.col("chunk_id") < 0)).alias("chunk records"),
+        n((F.col("valid_length") <= 0) | (F.col("offset") + F.col("valid_length") > corpus_bytes)).alias("chunks beyond the corpus"),
+        F.greatest(F.abs(F.count("*") - -(-corpus_bytes // max(chunk, 1))), F.count("*") - F.countDistinct("chunk_id")).alias("chunk coverage"),
+    )
+    names = [*files.columns, *parts.columns]
+    return files.join(F.broadcast(parts)).select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").cast("long").alias("bad")) for c in names])).alias("_n", "c")).select("c.*")  # one row each
+
+
+def checked_catalogue(space: DataFrame, chunks: DataFrame, **sizes: int) -> DataFrame:
+    """space, after an error if anything is wrong with the catalogue."""
+    if wrong := [r["check"] for r in faults(space, chunks, **sizes).where("bad <> 0").collect()]:  # seven rows at most
+        raise ValueError("invalid catalogue: " + ", ".join(wrong))
+    return space
