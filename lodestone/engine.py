@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from .functions.paths import DEPENDENCY_EXTENSIONS, SEMANTIC_EXTENSIONS, extension, under_roots
 from .functions.text import query_terms, redact
 from .operators import blocks, exact, fusion, graph, grams, recency, semantic, signals, symbols
-from .plans import planner
+from .plans import planner, render
 from .sources import corpus
 from .tables import stored
 
@@ -131,6 +131,49 @@ class Engine:
         related = fusion.related(found, first, self.edges if self.edges is not None else none, tests=tests, dependencies=dependencies and self.edges is not None)
         return {"mode": effective, "warning": warning, "results": found.orderBy("ord"), "primary_results": first.orderBy("ord"), "related_files": related}
 
+    def search_text(self, query: str, *, top_k: int = 5, mode: str = "auto", context: str = "normal", intent: str = "understand") -> str:
+        """What search_code finds, as a page of text."""
+        effective, warning = fusion.route_one(self.spark, query, mode, intent, semantic_ready=self.chunks is not None, symbol_ready=self.symbol_table is not None)
+        if effective == "symbol":
+            rows = self._hits(query, "symbol", top_k, context).orderBy("ord").collect()
+            text = "\n".join([f"Symbol: {len(rows)} matches for '{query}':", *[f"\n{r['file']} L{r['line_start']}–{r['line_end']}\n  {r['snippet']}" for r in rows]]) if rows else None
+        else:
+            exact_ = stored(self._boosted(self.search(query)), "hits") if effective in ("pattern", "hybrid") or self.chunks is None else None
+            chunks = self._boosted(self.semantic_search(query, top_k)) if effective != "pattern" and self.chunks is not None else None
+            if chunks is None:
+                text = render.pattern(exact_, self.files, context=context)
+            else:
+                text = render.semantic(chunks, self.files, query, context=context) if exact_ is None else render.hybrid(exact_, chunks, context=context)
+        return "\n\n".join(x for x in (warning, text or f"No matches for '{query}'.") if x)
+
+    def retrieve(self, query: dict, mode: str, k: int = 10) -> DataFrame:
+        """file, symbol, test, ord: a page for a benchmark's query (query, exact_query, symbol_query) by one of quality.RETRIEVALS.
+
+        "ripgrep" is a scan of all files without an index.
+        """
+        text, exact_ = query["query"], query.get("exact_query") or query["query"]
+        named, none = query.get("symbol_query") or exact_, F.lit(None).cast("string")
+        if mode == "ripgrep":
+            return exact.search(self.files, exact_, max_files=k).select(F.col("path").alias("file"), none.alias("symbol"), none.alias("test"), F.col("file_id").alias("ord"))
+        symbol_page = symbols.find(self.symbol_table, named, k=k).select(F.col("file_path").alias("file"), F.col("qualified_name").alias("symbol"), F.struct("match", F.lower("qualified_name"), "file_path", "line_start").alias("key")) if mode in ("symbol", "hybrid_symbols") else None
+        if mode == "symbol":
+            return fusion_ord(symbol_page.withColumn("test", none), ["file", "symbol", "test"], ["key"])
+        if mode not in ("exact", "semantic", "hybrid", "hybrid_symbols", "hybrid_dependencies"):
+            raise ValueError(f"unknown way of retrieval: {mode}")
+        deep = mode == "hybrid_dependencies"
+        found = self.search_code(exact_ if mode == "exact" else text, top_k=k, mode="hybrid" if mode.startswith("hybrid") else mode, dependencies=deep, tests=deep)
+        page = fusion.first_by(found["results"].select("file", "ord"), ["file"], ["ord"])
+        if mode == "hybrid_symbols":
+            own = fusion_ord(symbol_page, ["file", "symbol"], ["key"])
+            merged = fusion.symbols_first(own.select("file", "ord"), page, k)
+            names = fusion.first_by(own, ["file"], ["ord"]).select("file", "symbol")
+            return fusion_ord(merged.join(names, "file", "left").withColumn("test", none), ["file", "symbol", "test"], ["source", "ord"])
+        page = page.orderBy("ord").limit(k).select("file", none.alias("symbol"), none.alias("test"), "ord")
+        if deep:
+            tests = found["related_files"].where("relation = 'tests'").select(none.alias("file"), none.alias("symbol"), F.col("file").alias("test"), (F.col("ord") + 1_000_000).alias("ord"))
+            page = page.unionByName(tests)
+        return page
+
     def _hits(self, query: str, mode: str, k: int, context: str) -> DataFrame:
         columns = ["file", "line_start", "line_end", "score", "snippet", "engine"]
         if mode == "symbol":

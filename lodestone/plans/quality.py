@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import time
+from collections.abc import Callable
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +50,44 @@ def means(scored: DataFrame, by: list[str]) -> DataFrame:
 
 
 def resources(runs: DataFrame, by: list[str], *, latency: str = "latency_ms", returned: str = "returned_tokens") -> DataFrame:
-    """latency p50 and p95 by nearest rank, and mean and largest number of returned tokens."""
-    found = with_quantiles(runs, by, latency, {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95)}, F.avg(returned).alias("mean"), F.max(returned).alias("returned_tokens_max"))
+    """latency p50 (the median) and p95 (by nearest rank), and mean and largest number of returned tokens."""
+    found = with_quantiles(runs, by, latency, {"p50": ("median", 0.5), "p95": ("nearest", 0.95)}, F.avg(returned).alias("mean"), F.max(returned).alias("returned_tokens_max"))
     return found.select(*by, F.round("p50", 3).alias("latency_ms_p50"), F.round("p95", 3).alias("latency_ms_p95"), F.round("mean", 3).alias("returned_tokens_mean"), "returned_tokens_max")
 
 
+#: The ways of retrieval that a benchmark compares.
+RETRIEVALS = ["ripgrep", "exact", "symbol", "semantic", "hybrid", "hybrid_symbols", "hybrid_dependencies"]
+_RESULT = "query_id string, mode string, ranked array<string>, symbols array<string>, tests array<string>, latency_ms double, returned_tokens long, expected_files array<string>, expected_symbols array<string>, expected_tests array<string>"
+
+
+def run(manifest: DataFrame, search: Callable[[dict, str, int], DataFrame], *, modes: list[str], k: int = 10, iterations: int = 1) -> DataFrame:
+    """query_id, mode, what was expected and found, latency_ms (the median of the iterations), returned_tokens and all scores.
+
+    search(query, mode, k) gives a page (file, symbol, test, ord) of one query of a manifest. A benchmark's queries are a
+    short stated list, each is a Spark job of its own to be timed, so the driver goes through them.
+    """
+    if k < 10 or iterations < 1 or not modes:
+        raise ValueError("a benchmark needs k of 10 or more, an iteration and a mode")
+    rows = []
+    for mode in modes:
+        for q in manifest.toLocalIterator():
+            took = []
+            for _ in range(iterations):
+                began = time.perf_counter()
+                page = search(q.asDict(), mode, k).orderBy("ord").collect()
+                took.append((time.perf_counter() - began) * 1000)
+            tokens = math.ceil(sum(len(str(v).encode()) + 4 for r in page for v in r if v is not None) / 4)
+            lists = ([r[c] for r in page if r[c] is not None] for c in ("file", "symbol", "test"))
+            rows.append((q["id"], mode, *lists, round(median(took), 3), tokens, *(q[c] or [] for c in ("expected_files", "expected_symbols", "expected_tests"))))
+    found = manifest.sparkSession.createDataFrame(rows, _RESULT)
+    return scores(found.select("query_id", "mode", *[paths(c).alias(c) for c in ("ranked", "tests", "expected_files", "expected_tests")], *[F.array_distinct(F.transform(c, lambda x: F.lower(F.trim(x)))).alias(c) for c in ("symbols", "expected_symbols")], "latency_ms", "returned_tokens"))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """A row a mode: means of the scores, and what the mode took."""
+    return means(results, ["mode"]).join(resources(results, ["mode"]), "mode")
+
+
 def long(table: DataFrame, metrics: list[str], by: str = "mode") -> DataFrame:
     """mode, metric, value."""
     return table.unpivot([by], metrics, "metric", "value")
