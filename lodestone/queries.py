@@ -734,7 +734,7 @@ def _plan_candidates(table) -> tuple[DataFrame, DataFrame]:
     return found, requests
 
 
-@query(f"""WITH RECURSIVE cost(t) AS (SELECT 1), c AS (SELECT conv_id AS r, CAST(turn % 3 AS INTEGER) AS sec, 'p' || turn AS path, CAST(turn AS INTEGER) AS line, role AS title, text AS content,
+_PLAN_SQL = f"""WITH RECURSIVE cost(t) AS (SELECT 1), c AS (SELECT conv_id AS r, CAST(turn % 3 AS INTEGER) AS sec, 'p' || turn AS path, CAST(turn AS INTEGER) AS line, role AS title, text AS content,
       CAST(greatest(1, (octet_length(encode(role || 'turn' || text)) + 3) // 4) AS INTEGER) + 12 AS tokens FROM conversations),
     o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY sec, lower(path), line, title) AS ord FROM c),
     walk AS (SELECT r, 0::BIGINT AS ord, CAST((octet_length(encode('what to change')) + 3) // 4 + 48 AS INTEGER) AS used, 0 AS n0, 0 AS n1, 0 AS n2, '' AS fate, 0 AS tokens, false AS truncated, '' AS path FROM (SELECT DISTINCT conv_id AS r FROM conversations)
@@ -743,14 +743,23 @@ def _plan_candidates(table) -> tuple[DataFrame, DataFrame]:
           CASE WHEN NOT filled AND cut THEN CAST(least(room, greatest(1, (octet_length(encode(title || 'turn' || substr(content, 1, greatest(1, (room - 16) * 4)))) + 3) // 4) + 12) AS INTEGER) ELSE cost END AS tokens FROM (
           SELECT w.r, o.ord, w.used, w.n0, w.n1, w.n2, o.sec, o.path, o.title, o.content, o.tokens AS cost, 300 - w.used AS room, CASE o.sec WHEN 0 THEN w.n0 WHEN 1 THEN w.n1 ELSE w.n2 END >= 2 AS filled,
             o.tokens > 300 - w.used AND o.sec = 0 AND 300 - w.used >= 64 AND length(o.content) > 0 AS cut FROM walk w JOIN o ON o.r = w.r AND o.ord = w.ord + 1)))
-    SELECT r AS request_id, CAST(ord AS INTEGER) AS ord, path, tokens, truncated, fate, max(used) OVER (PARTITION BY r) AS tokens_used FROM walk WHERE ord > 0""")
+    SELECT r AS request_id, CAST(ord AS INTEGER) AS ord, path, tokens, truncated, fate, max(used) OVER (PARTITION BY r) AS tokens_used FROM walk WHERE ord > 0"""
+
+
+@query(_PLAN_SQL)
 def plan_allocate(spark, table):
     return planner.allocate(*_plan_candidates(table)).select("request_id", "ord", "path", "tokens", "truncated", "fate", "tokens_used")
 
 
-@query()
+@query(f"""WITH p AS MATERIALIZED ({_PLAN_SQL}), k AS (SELECT request_id, path, min(ord) AS ord, CAST(substr(path, 2) AS INT) % 3 = 0 AS likely FROM p WHERE fate = 'kept' GROUP BY request_id, path),
+    o AS (SELECT request_id, string_agg(path, ' | ' ORDER BY ord) AS inspection_order, string_agg(path, ' | ' ORDER BY ord) FILTER (likely) AS likely_change_set FROM k GROUP BY request_id)
+    SELECT request_id, max(tokens_used) AS tokens_used, coalesce(any_value(inspection_order), '') AS inspection_order, coalesce(any_value(likely_change_set), '') AS likely_change_set,
+      concat_ws(' | ', CASE WHEN any_value(likely_change_set) IS NULL THEN 'No primary implementation fit the context bundle.' END, 'No related tests were identified; coverage may be missing.',
+        CASE WHEN any_value(inspection_order) IS NOT NULL THEN 'Some relationships are heuristic and below 0.70 confidence.' END, CASE WHEN bool_or(fate <> 'kept') THEN 'The token budget omitted relevant context; inspect omissions before editing.' END) AS risks
+    FROM p LEFT JOIN o USING (request_id) GROUP BY request_id""")
 def plan_summary(spark, table):
-    return planner.summary(planner.allocate(*_plan_candidates(table)))
+    found = planner.summary(planner.allocate(*_plan_candidates(table)))
+    return found.select("request_id", "tokens_used", *[F.array_join(c, " | ").alias(c) for c in ("inspection_order", "likely_change_set", "risks")])
 
 
 @query(r"""WITH words AS (SELECT item_id, text, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*'), lambda w: NOT list_contains(%s, lower(w))) AS w FROM benchmark),
