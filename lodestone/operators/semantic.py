@@ -51,19 +51,25 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 10, *, id_col: str =
     return rows.orderBy(F.col("_exact").desc_nulls_last(), id_col).limit(k).withColumn("score", F.round("_exact", digits)).drop("_exact", vector_col)
 
 
+#: Blocks of queries in one search at most, each a branch of its plan.
+MAX_BLOCKS = 256
+
+
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1000, digits: int = 4) -> DataFrame:
     """query_id, rank, id, score for a stated set of queries (query_id, q), in blocks: about `block` queries are sent to all vectors at once.
 
     A block is dealt out by hash, so its size is counted before it is broadcast and halved until it fits. Each task
-    keeps k rows a query before they are shuffled.
+    keeps k rows a query before they are shuffled. Ids of queries are distinct; too many in all are an error.
     """
     queries = stored(queries.select("query_id", normalized("q").alias("_q")), "queries")
     blocks = 1
     while True:
         dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         most = dealt.groupBy("_block").count().agg(F.max("count").alias("n")).first()["n"] or 0
-        if most <= block or blocks >= most * 64:
+        if most <= block:
             break
+        if blocks >= MAX_BLOCKS:
+            raise ValueError(f"more than {block} queries of one id, or about {MAX_BLOCKS * block} in all; search them in several calls")
         blocks *= 2
     unit = vectors.select(id_col, normalized(F.col(vector_col)).alias("_v"))
     order = Window.partitionBy("query_id").orderBy(F.col("_exact").desc(), id_col)
